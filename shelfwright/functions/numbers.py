@@ -28,7 +28,7 @@ def shortfall(actual: Column, expected: Column) -> Column:
 
 
 def value_gap(short: Column, price: Column) -> Column:
-    return F.bround(F.greatest(short, F.lit(0)) * price, 2)
+    return F.when(short.isNotNull(), F.bround(F.greatest(short, F.lit(0)) * price, 2))
 
 
 def coverage_days(actual: Column, daily: Column) -> Column:

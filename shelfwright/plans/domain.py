@@ -45,8 +45,8 @@ SHARED = {
              ELSE concat('A-', CAST(l_suppkey % 3 AS STRING), CAST(l_suppkey % 4 AS STRING)) END AS location_label,
         CASE WHEN ln % 2 = 0 THEN concat('R', CAST(l_suppkey % 4 AS STRING)) END AS rack_marker,
         CASE WHEN l_partkey % 4 = 0 THEN NULL WHEN l_partkey % 4 = 1 THEN 'not visible'
-             WHEN l_partkey % 4 = 2 THEN concat('Rs ', CAST(CAST(p_retailprice AS INT) AS STRING), '.00')
-             ELSE CAST(CAST(p_retailprice AS INT) + ln - 4 AS STRING) END AS visible_price,
+             WHEN l_partkey % 4 = 2 THEN concat('Rs ', CAST(CAST(floor(p_retailprice) AS INT) AS STRING), '.00')
+             ELSE CAST(CAST(floor(p_retailprice) AS INT) + ln - 4 AS STRING) END AS visible_price,
         CASE WHEN qty % 6 = 0 THEN 'Buy 2 get 1' END AS promotion_text,
         1 - l_discount AS confidence, p_retailprice
         FROM base WHERE ln >= 2""",
@@ -94,7 +94,7 @@ SHARED = {
         CAST((l_partkey * 37 + ln * 101 + l_suppkey * 7) % 1000 + 60 + l_partkey % 90 AS INT) AS x2,
         CAST(((l_suppkey * 53 + ln * 17) % 3) * 280 + l_partkey % 40 + 120 + l_suppkey % 100 AS INT) AS y2,
         CASE WHEN qty % 4 = 0 THEN '' WHEN qty % 4 = 1 THEN p_name
-             ELSE concat(p_brand, ' ', p_name, ' MRP ', CAST(CAST(p_retailprice AS INT) AS STRING)) END AS pack_text,
+             ELSE concat(p_brand, ' ', p_name, ' MRP ', CAST(CAST(floor(p_retailprice) AS INT) AS STRING)) END AS pack_text,
         CASE WHEN qty % 4 = 0 THEN 0.0e0 ELSE l_tax * 10 END AS ocr_confidence,
         CASE WHEN qty % 5 = 0 THEN 'catalog' WHEN qty % 5 = 1 THEN 'ocr' WHEN qty % 5 = 2 THEN 'llm' ELSE 'vector' END AS recognition_source,
         l_returnflag = 'R' AND ln = 6 AS exclude_from_inventory
