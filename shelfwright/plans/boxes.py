@@ -183,7 +183,7 @@ def w11(d):
 
 
 @query("f14_box_functions", f"""SELECT a.scan_id, a.pos, round_even({S.iou('a', 'b')}, 4) AS iou, round_even(CAST({S.inter('a', 'b')} AS DOUBLE) / {S.area('a')}, 4) AS inside, {S.area('a')} AS area, least(a.x1, b.x1) AS ux1, greatest(a.y2, b.y2) AS uy2,
-    {S.cap('a', 'b')} AS cap FROM bx a JOIN (SELECT pos, x1 + 20 AS x1, y1 + 10 AS y1, x2 + 45 AS x2, y2 + 90 AS y2 FROM bx) b ON a.pos = b.pos""", BOXES)
+    {S.cap('a', 'b')} AS cap FROM bx a JOIN (SELECT scan_id, pos, x1 + 20 AS x1, y1 + 10 AS y1, x2 + 45 AS x2, y2 + 90 AS y2 FROM bx) b ON a.scan_id = b.scan_id AND a.pos = b.pos""", BOXES)
 def f14(d):
     f = d.fac.withColumns({"b_x1": F.col("x1") + 20, "b_y1": F.col("y1") + 10, "b_x2": F.col("x2") + 45, "b_y2": F.col("y2") + 90})
     a, b = G.box(), G.box("b_")
@@ -212,7 +212,7 @@ def v28b(d):
     return B.boxes_trusted(d.fac, 900)
 
 
-@query("t7_zip_by_order", """SELECT f.scan_id, f.pos, i.pos AS inv_pos FROM (SELECT scan_id, pos, row_number() OVER (PARTITION BY scan_id ORDER BY visible_rank, pos) AS n, count(*) OVER (PARTITION BY scan_id) AS t FROM (SELECT scan_id, pos, actual_facings AS visible_rank FROM cv)) f
+@query("t7_zip_by_order", """SELECT f.scan_id, f.pos, i.pos AS inv_pos FROM (SELECT scan_id, pos, row_number() OVER (PARTITION BY scan_id ORDER BY visible_rank NULLS FIRST, pos) AS n, count(*) OVER (PARTITION BY scan_id) AS t FROM (SELECT scan_id, pos, actual_facings AS visible_rank FROM cv)) f
     JOIN (SELECT scan_id, pos, row_number() OVER (PARTITION BY scan_id ORDER BY expected_facings, pos) AS n, count(*) OVER (PARTITION BY scan_id) AS t FROM plan) i ON f.scan_id = i.scan_id AND f.n = i.n AND f.t = i.t WHERE f.t >= 2""")
 def t7(d):
     """n-th counted row with n-th planned row, only where both sides have the same length."""

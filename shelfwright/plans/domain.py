@@ -132,12 +132,18 @@ class Domain:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def spread(self, name: str) -> DataFrame:
+        """A table stored in fewer splits than the cluster has cores is dealt out once."""
+        df = self.table(name)
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
     def _derived(self, name: str, **sources: DataFrame) -> DataFrame:
         return self.spark.sql(_bind(_spark(SHARED[name]), sources), **sources)
 
     @cached_property
     def base(self) -> DataFrame:
-        return self._derived("base", lineitem=self.table("lineitem"), part=self.table("part"))
+        return self._derived("base", lineitem=self.spread("lineitem"), part=self.table("part"))
 
     @cached_property
     def scans(self) -> DataFrame:
