@@ -4,7 +4,7 @@ from importlib import import_module
 
 from shelfwright.plans.registry import all_queries, all_sql
 
-for _module in ("shelf_metrics", "kpis", "planogram", "boxes", "matching"):
+for _module in ("shelf_metrics", "kpis", "planogram", "boxes", "matching", "lifecycle"):
     import_module(f"shelfwright.plans.{_module}")
 
 __all__ = ["all_queries", "all_sql"]

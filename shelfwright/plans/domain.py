@@ -7,6 +7,7 @@ would give; real deployments carry it as a column.
 
 from __future__ import annotations
 
+import re
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,7 +53,8 @@ SHARED = {
         FROM base WHERE ln >= 2""",
     # What the plan expects on the shelf of a scan.
     "plan": """SELECT scan_id, pos, ln, concat('A-', CAST(l_suppkey % 3 AS STRING), CAST(l_suppkey % 4 AS STRING)) AS location,
-        category, sub_category, p_brand AS brand, p_name AS product_name, p_type AS variant,
+        category, sub_category, p_brand AS brand, p_name AS product_name,
+        CASE WHEN ln = 3 THEN concat(p_type, ' gold edition') ELSE p_type END AS variant,
         CASE WHEN ln % 4 = 0 THEN concat('SKU-', CAST(l_partkey AS STRING)) ELSE '' END AS sku,
         1 + p_size % 10 AS expected_facings, p_size % 7 AS expected_qty,
         CASE WHEN p_size % 3 = 0 THEN NULL ELSE p_size % 10 END AS min_facings,
@@ -101,6 +103,24 @@ SHARED = {
         FROM base""",
     # One audit-trail row per event; the user stands for the organisation.
     "ev": """SELECT event_id, ts, user_id AS org_id, event_type, value, props FROM events""",
+    # Recurring audit schedules; one order stands for one schedule.
+    "sched": """SELECT o_orderkey AS schedule_id, o_custkey % 7 AS org_id,
+        CASE o_orderpriority WHEN '1-URGENT' THEN 'daily' WHEN '2-HIGH' THEN 'weekly' WHEN '3-MEDIUM' THEN 'monthly' ELSE 'custom' END AS cadence,
+        CAST(o_orderkey % 7 AS INT) AS day_of_week, CAST(o_orderkey % 31 + 1 AS INT) AS day_of_month,
+        o_orderdate + make_interval(0, 0, 0, 0, CAST(o_orderkey % 24 AS INT)) AS next_run_at, o_orderstatus <> 'F' AS active,
+        CASE WHEN o_orderkey % 3 = 0 THEN 'Asia/Kolkata' WHEN o_orderkey % 3 = 1 THEN 'UTC' END AS tz,
+        CASE WHEN o_orderkey % 5 = 0 THEN 3 END AS max_occurrences, CAST(o_orderkey % 4 AS INT) AS occurrence_count,
+        CASE WHEN o_orderkey % 9 = 0 THEN 'schedule_once' ELSE 'recurring' END AS assignment_mode,
+        CASE WHEN o_orderkey % 6 = 0 THEN '{"dueOffsetHours": 36}' ELSE '{}' END AS due_config,
+        o_custkey AS store_id, o_custkey % 11 AS assignee_id FROM orders""",
+    # Assignments with a due time by priority.
+    "asg": """SELECT o_orderkey AS assignment_id, o_custkey % 7 AS org_id, o_custkey AS assignee_id,
+        CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'pending' ELSE 'in_progress' END AS status,
+        o_orderdate + make_interval(0, 0, 0, 0, CAST(o_orderkey % 97 AS INT)) AS due_at, o_orderdate AS created_at FROM orders""",
+    # Packets checked during an expiry inspection; the order is the attempt.
+    "pkt": """SELECT scan_id AS attempt_id, pos, ln AS packet_ordinal, l_suppkey % 50 AS store_id, l_shipdate AS ts, l_partkey AS sku,
+        CASE l_returnflag WHEN 'A' THEN 'sellable' WHEN 'R' THEN 'expired' ELSE CASE WHEN qty % 3 = 0 THEN 'near_expiry' WHEN qty % 3 = 1 THEN 'unresolved' ELSE 'sellable' END END AS classification,
+        qty % 7 = 0 AS unreadable, concat('h', CAST(l_partkey % 97 AS STRING)) AS file_hash FROM base""",
     # Human count of a line of an assignment.
     "audit": """SELECT scan_id AS assignment_id, pos, ln, l_partkey AS sku, l_suppkey % 50 AS store_id,
         1 + p_size % 10 AS expected_qty, CASE WHEN qty % 3 = 0 THEN 1 + p_size % 10 WHEN qty % 13 = 0 THEN NULL ELSE qty END AS actual_qty,
@@ -112,6 +132,7 @@ SHARED = {
 
 
 def _duck(text: str) -> str:
+    text = re.sub(r"make_interval\(0, 0, 0, 0, (CAST\(.*? AS INT\))\)", r"to_hours(\1)", text)
     return text.replace(" AS STRING", " AS VARCHAR")
 
 
@@ -177,6 +198,18 @@ class Domain:
     def ev(self) -> DataFrame:
         return self._derived("ev", events=self.table("events"))
 
+    @cached_property
+    def sched(self) -> DataFrame:
+        return self._derived("sched", orders=self.table("orders"))
+
+    @cached_property
+    def asg(self) -> DataFrame:
+        return self._derived("asg", orders=self.table("orders"))
+
+    @cached_property
+    def pkt(self) -> DataFrame:
+        return self._derived("pkt", base=self.base)
+
     @cached_property
     def audit(self) -> DataFrame:
         return self._derived("audit", base=self.base)
