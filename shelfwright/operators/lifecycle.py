@@ -25,7 +25,7 @@ def variance_findings(lines: DataFrame, sla: DataFrame | None, known: DataFrame,
     sev = F.when(oos | (val >= 10000), "critical").when(q >= 10, "high").when(q >= 3, "medium").otherwise("low")
     out = v.withColumns({"finding_type": kind, "severity": sev}).join(known, ["assignment_id", "pos"], "left_anti")
     if sla is not None:
-        out = out.join(F.broadcast(sla) if sla.isEmpty() else sla, ["org_id", "severity"], "left")
+        out = out.join(sla, ["org_id", "severity"], "left")
         due = S.sla_hours(F.col("severity"), F.col("sla_hours"))
     else:
         due = S.sla_hours(F.col("severity"))

@@ -111,7 +111,7 @@ SHARED = {
         CASE WHEN o_orderkey % 3 = 0 THEN 'Asia/Kolkata' WHEN o_orderkey % 3 = 1 THEN 'UTC' END AS tz,
         CASE WHEN o_orderkey % 5 = 0 THEN 3 END AS max_occurrences, CAST(o_orderkey % 4 AS INT) AS occurrence_count,
         CASE WHEN o_orderkey % 9 = 0 THEN 'schedule_once' ELSE 'recurring' END AS assignment_mode,
-        CASE WHEN o_orderkey % 6 = 0 THEN '{"dueOffsetHours": 36}' ELSE '{}' END AS due_config,
+        CASE WHEN o_orderkey % 6 = 0 THEN concat(chr(123), '"dueOffsetHours": 36', chr(125)) ELSE concat(chr(123), chr(125)) END AS due_config,
         o_custkey AS store_id, o_custkey % 11 AS assignee_id FROM orders""",
     # Assignments with a due time by priority.
     "asg": """SELECT o_orderkey AS assignment_id, o_custkey % 7 AS org_id, o_custkey AS assignee_id,

@@ -71,7 +71,7 @@ NEXT = """CASE cadence WHEN 'daily' THEN CASE WHEN dd + to_days(1) + to_hours(8)
     WHEN 'monthly' THEN date_trunc('month', t) + to_months(1) + to_days(least(day_of_month, 28) - 1) + to_hours(8) ELSE t + to_days(7) END"""
 SCH = {
     "due": f"""SELECT *, strftime(next_run_at + CASE WHEN tz = 'Asia/Kolkata' THEN INTERVAL '330 minutes' ELSE INTERVAL '0 minutes' END, '%Y-%m-%dT%H:%M') AS occurrence_key, next_run_at + to_hours(CASE WHEN schedule_id % 6 = 0 THEN 36 ELSE 24 END) AS due_at
-        FROM sched WHERE active AND next_run_at <= {NOW_SQL} AND (max_occurrences IS NULL OR occurrence_count < max_occurrences) AND NOT (schedule_id % 10 = 0 AND tz = 'Asia/Kolkata')""",
+        FROM sched WHERE active AND next_run_at <= {NOW_SQL} AND (max_occurrences IS NULL OR occurrence_count < max_occurrences) AND NOT (schedule_id % 10 = 0 AND coalesce(tz, '') = 'Asia/Kolkata')""",
 }
 
 
@@ -350,9 +350,9 @@ def j26(d):
         (F.col("o_custkey") % 50).alias("store_id"), F.col("o_orderkey").alias("version_id"), F.col("o_orderdate").alias("valid_from"),
         F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderdate") + S.days(F.lit(90))).alias("valid_to"))
     s = d.scans.select("scan_id", "store_id", "scan_ts")
-    horizon = s.agg(F.max("scan_ts").alias("horizon"))
+    horizon = F.lit(s.agg(F.max("scan_ts")).first()[0]).cast("timestamp_ntz")
     month = lambda c: F.year(c) * 12 + F.month(c)
-    spread = v.join(F.broadcast(horizon)).withColumn("m", F.explode(F.sequence(month("valid_from"), F.greatest(month("valid_from"), month(F.coalesce("valid_to", "horizon"))))))
+    spread = v.withColumn("m", F.explode(F.sequence(month("valid_from"), F.greatest(month("valid_from"), month(F.coalesce("valid_to", horizon))))))
     hit = s.withColumn("m", month("scan_ts")).join(spread, ["store_id", "m"]).where(
         (F.col("scan_ts") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("scan_ts") < F.col("valid_to"))))
     return hit.groupBy("scan_id").agg(F.max("version_id").alias("version_id"))
