@@ -1,28 +1,73 @@
-"""Greedy one-to-one assignment, greedy suppression and spatial joins, all as distributed rounds.
+"""Greedy one-to-one assignment, greedy suppression, spatial joins and components.
 
-No group is ever collected: a round is a few aggregations and joins on (group, row) keys, so one
-scan with very many candidates is spread over the cluster like many small ones.
+No group is ever collected: groups of checked size are read in order by one task that remembers only
+used rows; larger ones go through rounds of aggregations and joins on (group, row) keys, which spread
+one scan with very many candidates over the cluster like many small ones.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwright.session import cut_lineage
 
 
-def greedy_one_to_one(pairs: DataFrame, group: str, left: str, right: str, order: list[Column]) -> DataFrame:
+# Groups up to this many pairs are walked in order by one task; larger ones are resolved in rounds.
+WALK_LIMIT = 200_000
+
+
+def greedy_one_to_one(pairs: DataFrame, group: str, left: str, right: str, order: list[Column], walk_limit: int | None = None) -> DataFrame:
     """Pairs taken in ``order`` (ascending, then left, then right), each row used at most once.
 
+    Groups of bounded size are sorted by Spark and read once, remembering only the used rows of the
+    current group. Larger groups are resolved by ``_rounds``; both give the same pairs.
+    """
+    limit = WALK_LIMIT if walk_limit is None else walk_limit
+    p = cut_lineage(pairs.select(
+        F.col(group).alias("g"), F.col(left).alias("l"), F.col(right).alias("r"),
+        F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]).alias("o")))
+    big = cut_lineage(p.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("g"))
+    if big.isEmpty():
+        out = _walk_pairs(p)
+    else:
+        out = _walk_pairs(p.join(big, "g", "left_anti")).unionByName(_rounds(cut_lineage(p.join(big, "g", "left_semi"))))
+    return out.select(F.col("g").alias(group), F.col("l").alias(left), F.col("r").alias(right),
+                      *[F.col(f"o.o{i}").alias(f"order_{i}") for i in range(len(order))])
+
+
+def _walk_pairs(p: DataFrame) -> DataFrame:
+    # Only the keys cross to Python; the order columns are joined back to the taken pairs.
+    keys = p.repartition("g").sortWithinPartitions("g", "o", "l", "r").select("g", "l", "r")
+    names = ["g", "l", "r"]
+
+    def run(batches):
+        current, lefts, rights = None, set(), set()
+        for pdf in batches:
+            keep = []
+            for g, lt, rt in zip(pdf["g"].tolist(), pdf["l"].tolist(), pdf["r"].tolist()):
+                if g != current:
+                    current, lefts, rights = g, set(), set()
+                if lt in lefts or rt in rights:
+                    continue
+                lefts.add(lt)
+                rights.add(rt)
+                keep.append((g, lt, rt))
+            yield pd.DataFrame(keep, columns=names).astype("int64")
+
+    taken = keys.mapInPandas(run, "g bigint, l bigint, r bigint")
+    return taken.join(p, names).select("g", "l", "r", "o")
+
+
+def _rounds(p: DataFrame) -> DataFrame:
+    """The same pairs without any ordered walk, for groups of any size.
+
     A pair that is first in the order for both of its rows is what the sequential rule takes, so all
     such pairs are taken at once and the rest is repeated without the used rows. Ties between equal
     rows would resolve one pair per round; where a set of lefts and a set of rights are all tied with
     each other at their best level, the rule pairs them in row order, which one round does by rank.
     """
-    p = cut_lineage(pairs.select(
-        F.col(group).alias("g"), F.col(left).alias("l"), F.col(right).alias("r"),
-        F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]).alias("o")))
     done = None
     while not p.isEmpty():
         lefts = p.groupBy("g", "l").agg(F.min("o").alias("o"))
@@ -47,18 +92,46 @@ def greedy_one_to_one(pairs: DataFrame, group: str, left: str, right: str, order
         done = taken if done is None else done.unionByName(taken)
         p = cut_lineage(p.join(taken.select("g", "l"), ["g", "l"], "left_anti")
                         .join(taken.select("g", "r"), ["g", "r"], "left_anti"))
-    out = p.select("g", "l", "r", "o") if done is None else done
-    return out.select(F.col("g").alias(group), F.col("l").alias(left), F.col("r").alias(right),
-                      *[F.col(f"o.o{i}").alias(f"order_{i}") for i in range(len(order))])
+    return p.select("g", "l", "r", "o") if done is None else done
 
 
-def greedy_suppressed(edges: DataFrame, group: str) -> DataFrame:
-    """Rows a greedy keep-first rule drops; ``edges`` = (group, hi, lo), ``hi`` comes first in the order.
+def greedy_suppressed(edges: DataFrame, group: str, walk_limit: int | None = None) -> DataFrame:
+    """Rows a greedy keep-first rule drops. Returns (group, id).
 
-    A row without an earlier conflicting row is kept and drops its later neighbours; rows that only
-    conflicted with dropped rows become free again. Returns (group, id) of dropped rows.
+    ``edges`` = (group, hi, lo, ord): ``hi`` comes before ``lo`` and ``ord`` is the place of ``lo`` in
+    the order. A row is dropped when an earlier conflicting row was kept.
     """
-    e = cut_lineage(edges.select(F.col(group).alias("g"), "hi", "lo").distinct())
+    limit = WALK_LIMIT if walk_limit is None else walk_limit
+    e = cut_lineage(edges.select(F.col(group).alias("g"), "hi", "lo", "ord"))
+    big = cut_lineage(e.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("g"))
+    if big.isEmpty():
+        out = _walk_edges(e)
+    else:
+        out = _walk_edges(e.join(big, "g", "left_anti")).unionByName(_suppress_rounds(cut_lineage(e.join(big, "g", "left_semi"))))
+    return out.select(F.col("g").alias(group), "id")
+
+
+def _walk_edges(e: DataFrame) -> DataFrame:
+    keys = e.repartition("g").sortWithinPartitions("g", "ord", "lo").select("g", "hi", "lo")
+
+    def run(batches):
+        current, dropped = None, set()
+        for pdf in batches:
+            out = []
+            for g, hi, lo in zip(pdf["g"].tolist(), pdf["hi"].tolist(), pdf["lo"].tolist()):
+                if g != current:
+                    current, dropped = g, set()
+                if hi not in dropped and lo not in dropped:
+                    dropped.add(lo)
+                    out.append((g, lo))
+            yield pd.DataFrame(out, columns=["g", "id"]).astype("int64")
+
+    return keys.mapInPandas(run, "g bigint, id bigint")
+
+
+def _suppress_rounds(e: DataFrame) -> DataFrame:
+    """The same rows in rounds: rows without an earlier conflict are kept and drop their later ones."""
+    e = cut_lineage(e.select("g", "hi", "lo").distinct())
     dropped = e.select("g", F.col("lo").alias("id")).limit(0)
     while not e.isEmpty():
         tops = e.select("g", "hi").join(e.select("g", F.col("lo").alias("hi")), ["g", "hi"], "left_anti").distinct()
@@ -66,7 +139,7 @@ def greedy_suppressed(edges: DataFrame, group: str) -> DataFrame:
         dropped = dropped.unionByName(gone)
         e = cut_lineage(e.join(gone.withColumnRenamed("id", "lo"), ["g", "lo"], "left_anti")
                         .join(gone.withColumnRenamed("id", "hi"), ["g", "hi"], "left_anti"))
-    return dropped.select(F.col("g").alias(group), "id")
+    return dropped
 
 
 def overlap_pairs(a: DataFrame, b: DataFrame, group: str, cell: int = 128) -> DataFrame:

@@ -45,7 +45,7 @@ def exact_round(sql: str) -> str:
                 comma = k
             k += 1
         body, places = exact_round(sql[j + len(mark):comma]), sql[comma + 1:k - 1].strip()
-        out.append(sql[i:j] + f"CAST(round_even(CAST(CAST(CAST({body} AS DOUBLE) AS VARCHAR) AS DECIMAL(30,15)), {places}) AS DOUBLE)")
+        out.append(sql[i:j] + f"CAST(round_even(CAST(CAST(CAST({body} AS DOUBLE) AS VARCHAR) AS DECIMAL(38,20)), {places}) AS DOUBLE)")
         i = k
     return "".join(out) + sql[i:]
 
