@@ -182,3 +182,25 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         if not changed:
             break
     return nodes.select("id").join(lab, "id", "left").select("id", F.coalesce("c", "id").alias("component"))
+
+
+def ordered_walk(df: DataFrame, keys: list[str], order: list[str], start, step, schema: str) -> DataFrame:
+    """Rows of each group read once in order with a small state: ``start(row)`` and ``step(state, row)``.
+
+    Spark partitions and sorts; a task holds one state at a time and never a group. ``step`` returns
+    one output tuple. Callers reduce their rows to distinct values first, so groups stay short.
+    """
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def run(batches):
+        current, state = None, None
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                key = tuple(getattr(row, k) for k in keys)
+                if key != current:
+                    current, state = key, start(row)
+                out.append(step(state, row))
+            yield pd.DataFrame(out, columns=names)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
