@@ -12,7 +12,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-_POS = "l_linenumber * 10000000000000000 + l_partkey * 1000000 + l_suppkey"
+_POS = "l_linenumber * 10000000000000000 + l_partkey * 100000000 + l_suppkey * 100 + CAST(l_quantity AS INT)"
 _CATEGORY = (
     "CASE p_size % 5 WHEN 0 THEN 'Snacks' WHEN 1 THEN 'Beverages' WHEN 2 THEN 'Personal Care' "
     "WHEN 3 THEN 'Dairy' ELSE 'General' END"
