@@ -56,7 +56,7 @@ def facing_compliance_total(rows: DataFrame) -> DataFrame:
     return agg.withColumn("overall_facing_compliance", N.percentage(F.col("actual_sum"), F.col("expected_sum")))
 
 
-def _share_table(rows: DataFrame, unplanned: DataFrame, key: Column, by: list[str]) -> DataFrame:
+def _share_table(rows: DataFrame, unplanned: DataFrame, key: Column) -> DataFrame:
     pos = lambda c: F.when(F.col(c) > 0, F.col(c))
     planned = rows.select("scan_id", key.alias("k"), pos("expected_facings").alias("e"), pos("actual_facings").alias("a"),
                           F.col("actual_facings").isNotNull().alias("seen"))
@@ -68,7 +68,7 @@ def _share_table(rows: DataFrame, unplanned: DataFrame, key: Column, by: list[st
 
 def brand_plan_share(rows: DataFrame, unplanned: DataFrame) -> DataFrame:
     """Expected against actual share per brand; unplanned facings count on the actual side."""
-    agg = _share_table(rows, unplanned, K.brand_key(F.col("brand")), []).where(
+    agg = _share_table(rows, unplanned, K.brand_key(F.col("brand"))).where(
         (F.col("k") != "") & (F.col("e").isNotNull() | F.col("a").isNotNull()))
     scan = Window.partitionBy("scan_id")
     e, a = F.coalesce("e", F.lit(0)), F.coalesce("a", F.lit(0))

@@ -282,7 +282,7 @@ def shelf_only_brands(products: DataFrame) -> DataFrame:
 
 
 def recognition_mix(facings: DataFrame) -> DataFrame:
-    sources = ["catalog", "ocr", "llm", "vector"]
+    sources = ["catalog", "ocr", "model", "vector"]
     src = F.lower(F.coalesce("recognition_source", F.lit("")))
     return facings.groupBy("scan_id").agg(
         *[F.count_if(src == s).alias(f"n_{s}") for s in sources], F.count("*").alias("n_total"))

@@ -98,7 +98,7 @@ SHARED = {
         CASE WHEN qty % 4 = 0 THEN '' WHEN qty % 4 = 1 THEN p_name
              ELSE concat(p_brand, ' ', p_name, ' MRP ', CAST(CAST(floor(p_retailprice) AS INT) AS STRING)) END AS pack_text,
         CASE WHEN qty % 4 = 0 THEN 0.0e0 ELSE l_tax * 10 END AS ocr_confidence,
-        CASE WHEN qty % 5 = 0 THEN 'catalog' WHEN qty % 5 = 1 THEN 'ocr' WHEN qty % 5 = 2 THEN 'llm' ELSE 'vector' END AS recognition_source,
+        CASE WHEN qty % 5 = 0 THEN 'catalog' WHEN qty % 5 = 1 THEN 'ocr' WHEN qty % 5 = 2 THEN 'model' ELSE 'vector' END AS recognition_source,
         l_returnflag = 'R' AND ln = 6 AS exclude_from_inventory
         FROM base""",
     # One audit-trail row per event; the user stands for the organisation.

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from shelfwright.operators import capture as C
 from shelfwright.operators import compare as CP
 from shelfwright.operators import money as MO
 from shelfwright.operators import planogram_calc as P

@@ -217,6 +217,6 @@ def w1(d):
 
 
 @query("g42_recognition_mix", """SELECT scan_id, count(*) FILTER (recognition_source = 'catalog') AS n_catalog, count(*) FILTER (recognition_source = 'ocr') AS n_ocr,
-    count(*) FILTER (recognition_source = 'llm') AS n_llm, count(*) FILTER (recognition_source = 'vector') AS n_vector, count(*) AS n_total FROM fac GROUP BY scan_id""")
+    count(*) FILTER (recognition_source = 'model') AS n_model, count(*) FILTER (recognition_source = 'vector') AS n_vector, count(*) AS n_total FROM fac GROUP BY scan_id""")
 def g42(d):
     return M.recognition_mix(d.fac)
