@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from shelfwright.llm import chat, mixture, quality, secrets, warc
+from shelfwright.llm import chat, mixture, near_dup, quality, secrets, warc
 
 QUERIES = {
     "op1_chat_prefix_targets": chat.op1,
     "op2_warc_boundary_chain": warc.op2,
     "op4_capped_water_filling": mixture.op4,
+    "op5_bbit_minhash": near_dup.op5,
     "op8_secret_blob_ledger": secrets.op8,
     "op9_quality_decision_list": quality.op9,
 }
@@ -15,5 +16,6 @@ SQL = {
     "op1_chat_prefix_targets": chat.OP1_SQL,
     "op2_warc_boundary_chain": warc.OP2_SQL,
     "op4_capped_water_filling": mixture.OP4_SQL,
+    "op5_bbit_minhash": near_dup.OP5_SQL,
     "op8_secret_blob_ledger": secrets.OP8_SQL,
 }
