@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from shelfwright.llm import chat, mixture, near_dup, quality, secrets, warc
+from shelfwright.llm import bpe, chat, language, mixture, near_dup, quality, secrets, vector_links, warc
 
 QUERIES = {
     "op1_chat_prefix_targets": chat.op1,
     "op2_warc_boundary_chain": warc.op2,
+    "op3_byte_level_bpe": bpe.op3,
     "op4_capped_water_filling": mixture.op4,
     "op5_bbit_minhash": near_dup.op5,
+    "op6_string_kernel_language": language.op6,
     "op8_secret_blob_ledger": secrets.op8,
     "op9_quality_decision_list": quality.op9,
+    "op10_cover_tree_links": vector_links.op10,
 }
 SQL = {
     "op1_chat_prefix_targets": chat.OP1_SQL,
@@ -18,4 +21,5 @@ SQL = {
     "op4_capped_water_filling": mixture.OP4_SQL,
     "op5_bbit_minhash": near_dup.OP5_SQL,
     "op8_secret_blob_ledger": secrets.OP8_SQL,
+    "op10_cover_tree_links": vector_links.OP10_SQL,
 }
