@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shelfwright.llm import bpe, chat, language, mixture, near_dup, quality, secrets, vector_links, warc
+from shelfwright.llm import bpe, chat, language, mixture, near_dup, quality, secrets, substrings, vector_links, warc
 
 QUERIES = {
     "op1_chat_prefix_targets": chat.op1,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_capped_water_filling": mixture.op4,
     "op5_bbit_minhash": near_dup.op5,
     "op6_string_kernel_language": language.op6,
+    "op7_suffix_merge_sort": substrings.op7,
     "op8_secret_blob_ledger": secrets.op8,
     "op9_quality_decision_list": quality.op9,
     "op10_cover_tree_links": vector_links.op10,
