@@ -10,21 +10,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwright.llm import bpe, mixture, near_dup, quality, secrets
-from shelfwright.llm.shared import written
+from shelfwright.llm.shared import free_name, written
 
 
 def without_secrets(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every found secret becomes ``[secret]``; n_chars follows the text. No document is dropped."""
-    found, _ = secrets.find(docs)
-    hit = F.size("found") > 0
-    out = found.withColumn("text", F.when(hit, secrets.redacted(F.col("text"), F.col("found"))).otherwise(F.col("text")))
-    return out.withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    name = free_name(docs, "found")
+    found, _ = secrets.find(docs, name=name)
+    hit = F.size(name) > 0
+    text = F.when(hit, secrets.redacted(F.col("text"), F.col(name))).otherwise(F.col("text"))
+    return with_text(found, docs, text, hit)
+
+
+def with_text(rows: DataFrame, docs: DataFrame, text, changed) -> DataFrame:
+    """The columns of ``docs`` with a new text; n_chars follows where it changed."""
+    cols = {"text": text, "n_chars": F.when(changed, F.length(text).cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {"text": text}
+    return rows.select(*[cols[c].alias(c) if c in cols else F.col(c) for c in docs.columns])
 
 
 def mixed_sources(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; n_chars follows the text where a repetition is fractional."""
-    taken = mixture.repeated(mixture.mix(docs))
-    return taken.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    taken = mixture.repeated(docs)
+    return with_text(taken, docs, F.col("text"), F.lit(True))
 
 
 STAGES = [

@@ -45,22 +45,10 @@ def water_fill(sizes: DataFrame, weights=WEIGHTS, budget_percent: int = BUDGET_P
     return s.select("skey", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, seed: int = 7, weights=WEIGHTS, budget_percent: int = BUDGET_PERCENT, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """Add ``size, source_size, target, taken`` (words taken of each row) to all rows of ``docs``.
-
-    Each document is repeated as a whole ``floor(taken of source / size of source)`` times; the rest of the source's
-    target is filled in a seeded order with one more repetition, the last of which is fractional. A source thus takes
-    its target to the word. The order uses hash buckets of (source, hash): bucket totals are summed first, so a
-    source with a third of all rows is ranked in thousands of tasks' groups.
-
-    Nulls: null text has size 0; null source is a source, the last; null doc_id is hashed as an empty one. Repeated
-    rows count each; their order among themselves does not change the rows returned. Sources of size 0 have target 0. Extra
-    columns are kept; columns named like an added one are replaced. An empty table gives an empty result.
-    """
-    made = ("size", "source_size", "target", "taken")
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in made])
-    d = docs.withColumns({"size": n_words(F.col("text")), "skey": source_key(F.col("source")),
-                          "mix_hash": F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")).cast("binary"))})
+def _mixed(docs: DataFrame, seed: int = 7, weights=WEIGHTS, budget_percent: int = BUDGET_PERCENT, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """(row: the columns of ``docs``, size, source_size, target, taken)."""
+    d = docs.select(F.struct("*").alias("row"), n_words(F.col("text")).alias("size"), source_key(F.col("source")).alias("skey"), F.col("source").alias("source"), F.col("doc_id").alias("doc_id"),
+                    F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")).cast("binary")).alias("mix_hash"))
     d = d.withColumn("mix_bucket", F.substring("mix_hash", 1, BUCKET_HEX))
     buckets = d.groupBy("skey", "mix_bucket").agg(F.sum("size").alias("bucket_size"), F.max("source").alias("source"))
     sizes = buckets.groupBy("skey").agg(F.sum("bucket_size").alias("source_size"), F.max("source").alias("source"))
@@ -75,20 +63,35 @@ def mix(docs: DataFrame, seed: int = 7, weights=WEIGHTS, budget_percent: int = B
     d = d.join(b, ["skey", "mix_bucket"])
     rest = F.col("room") - F.coalesce(F.sum("size").over(ahead), F.lit(0))
     taken = F.col("whole") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))
-    return d.withColumn("taken", taken).select(*docs.columns, *made)
+    return d.select("row", "size", "source_size", "target", taken.alias("taken"))
+
+
+def mix(docs: DataFrame, seed: int = 7, weights=WEIGHTS, budget_percent: int = BUDGET_PERCENT, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """Add ``size, source_size, target, taken`` (words taken of each row) to all rows of ``docs``.
+
+    Each document is repeated as a whole ``floor(taken of source / size of source)`` times; the rest of the source's
+    target is filled in a seeded order with one more repetition, the last of which is fractional. A source thus takes
+    its target to the word. The order uses hash buckets of (source, hash): bucket totals are summed first, so a
+    source with a third of all rows is ranked in thousands of small groups.
+
+    Nulls: null text has size 0; null source is a source, the last; null doc_id is hashed as an empty one. Repeated
+    rows count each; their order among themselves does not change the rows returned. Sources of size 0 have target 0. Extra
+    columns are kept; columns named like an added one are replaced. An empty table gives an empty result.
+    """
+    made = ("size", "source_size", "target", "taken")
+    return _mixed(docs, seed, weights, budget_percent, max_epochs).select(*[F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in made], *made)
 
 
-def repeated(mixed: DataFrame) -> DataFrame:
-    """The mixed corpus: one row per repetition, the last fractional one cut behind its last word. Adds nothing, drops the
-    columns of ``mix``."""
-    keep = [c for c in mixed.columns if c not in ("size", "source_size", "target", "taken")]
+def repeated(docs: DataFrame, **options) -> DataFrame:
+    """The mixed corpus with the columns of ``docs``: a row per repetition, the fractional one cut behind its last word."""
+    text = F.col("row")["text"]
     rest = F.expr("CASE WHEN size > 0 THEN taken % size ELSE 0 END").cast("int")
     whole = F.expr("CASE WHEN size > 0 THEN taken div size ELSE 0 END").cast("int")
-    words = F.regexp_extract_all("text", F.lit(rf"[{SPACE}]*{WORD}"), F.lit(0))  # each with the space before it
+    words = F.regexp_extract_all(text, F.lit(rf"[{SPACE}]*{WORD}"), F.lit(0))  # each with the space before it
     part = F.array_join(F.slice(words, F.lit(1), rest), "")
-    texts = F.concat(F.array_repeat(F.col("text"), whole), F.when(rest > 0, F.array(part)).otherwise(F.array().cast("array<string>")))
-    out = mixed.withColumn("mix_texts", texts).withColumn("mix_text", F.explode("mix_texts"))
-    return out.select(*[F.col("mix_text").alias("text") if c == "text" else F.col(c) for c in keep])
+    texts = F.concat(F.array_repeat(text, whole), F.when(rest > 0, F.array(part)).otherwise(F.array().cast("array<string>")))
+    out = _mixed(docs, **options).select("row", F.explode(texts).alias("part"))
+    return out.select(*[F.col("part").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfwright.llm.shared import table
 from shelfwright.llm.textarrays import is_space, prefix_hash, range_hash, row_of, runs, slices, windows
@@ -204,13 +205,13 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the rules reject; rules are learned from the labelled documents of the whole table."""
     rules = fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     counts = (*BASE_STATS, "n_lines", "n_upper", "n_digits", "n_marks")
-    schema = docs.schema
+    schema = T.StructType([T.StructField("row", docs.schema), *[T.StructField(c, T.LongType()) for c in counts]])
 
     def job(batches):
         for batch in batches:
             for rows, flat, off in slices(batch, "text"):
                 s = text_stats(flat, off)
-                yield pa.RecordBatch.from_arrays([*rows.columns, *[pa.array(s[c]) for c in counts]], names=[*schema.names, *counts])
+                yield pa.RecordBatch.from_arrays([rows.column(0), *[pa.array(s[c]) for c in counts]], names=["row", *counts])
 
-    out = docs.select(*schema.names).mapInArrow(job, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", " + ", ".join(f"{c} long" for c in counts))
-    return out.where(~base_failed() & verdict(rules).isNull()).select(*schema.names)
+    out = docs.select(F.struct("*").alias("row"), "text").mapInArrow(job, schema)
+    return out.where(~base_failed() & verdict(rules).isNull()).select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -59,23 +59,24 @@ def scan(history: DataFrame, ledger: DataFrame | None = None, rules: dict = RULE
     return out.select("blob", "r.kind", "r.version", F.explode_outer("r.spans").alias("s")).select("blob", "kind", "version", "s.start", "s.stop")
 
 
-def find(docs: DataFrame, ledger: DataFrame | None = None, rules: dict = RULES) -> tuple[DataFrame, DataFrame]:
-    """(``docs`` with a column ``found``: array of (start, rank, kind, stop) in order, and the ledger with this scan added).
+def find(docs: DataFrame, ledger: DataFrame | None = None, rules: dict = RULES, name: str = "found") -> tuple[DataFrame, DataFrame]:
+    """(``docs`` with a column ``name``: array of (start, rank, kind, stop) in order, and the ledger with this scan added).
 
     A text's blob is its sha-256; null text is the empty blob. Repeated rows and shared texts get the same finds. Finds of a
-    blob are spread over SALTS rows, so that a blob that a third of all paths hold is no hot key.
+    blob are spread over SALTS rows, so that a blob that a third of all paths hold is no hot key. Extra columns are kept, one
+    called ``name`` is replaced; no rows give no rows.
     """
-    d = docs.drop(*[c for c in docs.columns if c.lower() in ("found", "secret_blob", "secret_salt")])
-    blob = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
-    new = written(scan(d.select(blob.alias("blob"), F.coalesce(F.col("text"), F.lit("")).alias("text")), ledger, rules), "secret-ledger")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    d = docs.select(F.struct("*").alias("row"), F.sha2(text, 256).alias("blob"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    new = written(scan(docs.select(F.sha2(text, 256).alias("blob"), text.alias("text")), ledger, rules), "secret-ledger")
     whole = new if ledger is None else ledger.unionByName(new)
     rank = F.array_position(F.array(*[F.lit(k) for k in rules]), F.col("kind")).cast("int")
-    hits = (whole.where(F.col("start").isNotNull() & rank.isNotNull()).withColumn("rank", rank)
+    hits = (whole.where(F.col("start").isNotNull() & (rank > 0)).withColumn("rank", rank)
             .groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "kind", "stop"))).alias("found"))
-            .select(F.col("blob").alias("secret_blob"), "found", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("secret_salt")))
-    d = d.withColumn("secret_blob", blob).withColumn("secret_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    out = d.join(hits, ["secret_blob", "secret_salt"], "left").drop("secret_blob", "secret_salt")
-    return out.withColumn("found", F.coalesce("found", F.expr("CAST(array() AS array<struct<start:int,rank:int,kind:string,stop:int>>)"))), whole
+            .select("blob", "found", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")))
+    none = F.expr("CAST(array() AS array<struct<start:int,rank:int,kind:string,stop:int>>)")
+    out = d.join(hits, ["blob", "salt"], "left")
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns if c.lower() != name.lower()], F.coalesce("found", none).alias(name)), whole
 
 
 def joined(found: Column) -> Column:

@@ -1,0 +1,350 @@
+"""Operators on small tables with nulls, empty texts, ties, repeated rows and clashing columns, against brute force."""
+
+from __future__ import annotations
+
+import collections
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from shelfwright.llm import bpe, chat, language, links, mixture, near_dup, quality, secrets, substrings, vector_links, warc
+from shelfwright.llm.shared import shared_folder
+
+SF = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def words(n, seed):
+    r = random.Random(seed)
+    return [r.choice("abcdefghijklmnop") + str(r.randint(0, 999)) for _ in range(n)]
+
+
+def changed(ws, at):
+    return [("x" + w if i in at else w) for i, w in enumerate(ws)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    """Rows with clashing columns; ids 1..4 are copies or near copies, 20 is in two rows."""
+    w = words(120, 1)
+    texts = [
+        (1, " ".join(w), "b"), (2, " ".join(w), "a"), (3, " ".join(changed(w, {50})).upper(), None), (4, " ".join(changed(w, {2, 118})), "a"),
+        (5, " ".join(changed(w, set(range(0, 120, 9)))), "a"), (6, None, "a"), (7, "", None), (8, "two words", "c"), (9, "Two\twords ", "c"), (10, " \n\t", "z"),
+        (11, "é " * 300 + "token = abcdefgh1", "b"), (12, "".join(random.Random(5).choice("xyzw ") for _ in range(20000)), "c"), (20, "the same row twice " * 3, "b"), (20, "the same row twice " * 3, "b"),
+        (None, "no id here", "a"), (21, "AKIAABCDEFGH1234 secret: token: abcdefghij password='hunter22hunter' " + "0af" * 15, "a"),
+    ]
+    rows = [(i, t, s, 7, "k", i) for i, t, s in texts]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, size int, found string, `row` long")
+
+
+def jaccard_groups(rows, percent=75):
+    def shingles(t):
+        w = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in (t or "")))
+        return set(zip(*[w[i:] for i in range(5)])) if len(w) >= 5 else ({tuple(w)} if w else set())
+    s = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(s[i] & s[j])
+            if both and 100 * both >= percent * len(s[i] | s[j]):
+                root[top(i)] = top(j)
+    low = {}
+    for i, (d, _) in enumerate(rows):
+        if s[i] and d is not None:
+            low[top(i)] = min(low.get(top(i), d), d)
+    return [(d, len(s[i]), low.get(top(i)) if s[i] else d) for i, (d, _) in enumerate(rows)]
+
+
+def norm(rows):
+    return sorted(map(tuple, rows), key=repr)
+
+
+def test_near_duplicates(docs, spark):
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    got = near_dup.labelled(docs).select("doc_id", "n_shingles", "component_id").collect()
+    assert norm(got) == norm(jaccard_groups(rows))
+    kept = near_dup.stage(spark, docs, SF)
+    assert kept.columns == docs.columns
+    ids = [r.doc_id for r in kept.collect()]
+    assert ids.count(20) == 1 and ids.count(1) == 1 and 2 not in ids and 3 not in ids and {6, 7, 10, None} <= set(ids)
+    assert near_dup.labelled(docs.limit(0)).count() == 0
+
+
+def test_near_duplicates_in_one_large_group(spark):
+    w = words(150, 9)
+    r = random.Random(2)
+    rows = [(i, " ".join(changed(w, set(r.sample(range(150), r.randint(0, 4)))))) for i in range(300)]
+    got = near_dup.labelled(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id").collect()
+    assert norm(got) == norm(jaccard_groups(rows))
+
+
+def test_estimate_follows_similarity(spark):
+    w = words(400, 3)
+    rows = [(i, " ".join(changed(w, set(range(0, 400, 400 // k if k else 401))))) for i, k in enumerate((0, 5, 20, 60))]
+    d = {r.doc_id: r for r in near_dup.rows_of(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    p = spark.createDataFrame([(d[0].bits, d[i].bits, i) for i in d], "x array<long>, y array<long>, i int")
+    est = {r.i: r.e for r in p.select("i", near_dup.estimate(F.col("x"), F.col("y")).alias("e")).collect()}
+    assert est[0] == 1 and est[1] > est[2] > est[3] and abs(est[2] - 0.6) < 0.2
+
+
+def test_components(spark):
+    r = random.Random(4)
+    edges = [(r.randint(0, 400), r.randint(0, 400)) for _ in range(250)] + [(i, i + 1) for i in range(1000, 1060)] + [(5000, x) for x in range(4000, 4100)] + [(7, 7)]
+    seen = {}
+    def top(x):
+        seen.setdefault(x, x)
+        while seen[x] != x:
+            x = seen[x]
+        return x
+    for a, b in edges:
+        if a != b:
+            x, y = sorted((top(a), top(b)))
+            seen[y] = x
+    got = dict(map(tuple, links.components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert got == {x: top(x) for x in seen}
+    assert links.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_substrings(spark):
+    r = random.Random(1)
+    rnd = lambda n, a="abcdefgh é": "".join(r.choice(a) for _ in range(n))
+    p, q, x = rnd(260), rnd(199), rnd(200)
+    rows = [(1, rnd(300) + p + rnd(50)), (2, p + rnd(400)), (3, rnd(10) + q + rnd(10)), (4, q + rnd(300)), (5, x), (6, rnd(20) + x), (7, None), (8, ""), (9, "a" * 1000), (10, "xyz" * 300),
+            (11, p), (11, p), (12, rnd(50) + p[5:215] + rnd(30)), (13, "é" * 150), (None, p[30:250] + "z" + p[40:]), (14, "short twice"), (15, "short twice")]
+    count = collections.Counter()
+    for _, t in rows:
+        b = (t or "").encode()
+        count.update(b[k:k + 200] for k in range(len(b) - 199))
+    want = []
+    for i, t in rows:
+        b = (t or "").encode()
+        mask = bytearray(len(b))
+        for k in range(len(b) - 199):
+            if count[b[k:k + 200]] > 1:
+                mask[k:k + 200] = b"\1" * 200
+        spans = sum(1 for k in range(len(b)) if mask[k] and (k == 0 or not mask[k - 1]))
+        want.append((i, len(b), sum(mask), spans, hashlib.sha256(bytes(c for c, m in zip(b, mask) if not m)).hexdigest()))
+    df = spark.createDataFrame([(*row, 0) for row in rows], "doc_id long, text string, rid int")
+    assert norm(substrings.removed(df).collect()) == norm(want)
+    assert substrings.removed(df.limit(0)).count() == 0
+
+
+def test_loser_tree_merges_and_keeps_prefixes():
+    r = random.Random(8)
+    runs = [sorted(bytes(r.choice(b"ab\0") for _ in range(r.randint(0, 12))) for _ in range(r.randint(0, 60))) for _ in range(7)]
+    packs = [substrings.front_coded(x) for x in runs]
+    out = [(k, n) for _, k, n in substrings.LoserTree([substrings.unfolded(a.tolist(), b.tolist(), c) for a, b, c in packs])]
+    assert [k for k, _ in out] == sorted(k for x in runs for k in x)
+    for (a, _), (b, n) in zip(out, out[1:]):
+        assert n == substrings.common(a, b, 0)
+
+
+def test_mixture(docs, spark):
+    got = mixture.mix(docs)
+    assert [c for c in docs.columns if c != "size"] == got.columns[:len(docs.columns) - 1]
+    rows = got.collect()
+    assert len(rows) == docs.count()
+    size = sum(r["size"] for r in rows)
+    by = collections.defaultdict(list)
+    for r in rows:
+        assert r["size"] == len(WORD.findall(r.text or "")) and 0 <= r.taken <= 2 * r["size"]
+        by[r.source].append(r)
+    order = sorted((s for s in by if s is not None)) + [None]
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    cap = {s: 2 * sum(r["size"] for r in by[s]) for s in by}
+    target, left = {}, 1.5 * size
+    while True:
+        rest = [s for s in by if s not in target]
+        total = sum(weight[s] for s in rest)
+        over = [s for s in rest if left * weight[s] / total > cap[s]]
+        if not over:
+            target.update({s: left * weight[s] / total for s in rest})
+            break
+        target.update({s: float(cap[s]) for s in over})
+        left -= sum(cap[s] for s in over)
+    for s, rs in by.items():
+        assert rs[0].target == pytest.approx(target[s]) and abs(sum(r.taken for r in rs) - target[s]) <= 1
+    assert norm(rows) == norm(mixture.mix(docs.repartition(3)).collect())
+    out = mixture.repeated(docs)
+    assert out.columns == docs.columns
+    assert sum(len(WORD.findall(r.text)) for r in out.collect()) == sum(r.taken for r in rows)
+    assert mixture.mix(docs.limit(0)).count() == 0
+
+
+def test_secrets_and_ledger(docs, spark):
+    def spans(t):
+        out = []
+        for rank, (kind, (_, p, g, least)) in enumerate(secrets.RULES.items()):
+            out += [(m.start(), rank, kind, m.end()) for m in re.finditer(p if kind != "hex" else r"[0-9a-f]+", t, re.A) if len(m[g]) >= least]
+        return sorted(out)
+    got, ledger = secrets.find(docs)
+    assert got.columns == [c for c in docs.columns if c != "found"] + ["found"]
+    for r in got.collect():
+        want = spans(r.text or "")
+        assert [(f.start, f.kind, f.stop) for f in r.found] == [(a, k, b) for a, _, k, b in want]
+    history = docs.select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
+    assert secrets.scan(history, ledger).count() == 0
+    newer = {**secrets.RULES, "access": (2, *secrets.RULES["access"][1:])}
+    again = secrets.scan(history, ledger, newer)
+    assert {(r.kind, r.version) for r in again.collect()} == {("access", 2)}
+    assert again.select("blob").distinct().count() == history.select("blob").distinct().count()
+    t = spark.createDataFrame([("ab token=12345678 cd AKIA0123456789AB",)], "text string").withColumn("doc_id", F.lit(1))
+    out, _ = secrets.find(t)
+    assert out.select(secrets.redacted(F.col("text"), F.col("found"))).first()[0] == "ab [secret] cd [secret]"
+    assert secrets.find(docs.limit(0))[0].count() == 0
+
+
+def test_quality_statistics_and_rules(docs, spark):
+    for r, t in zip(quality.stats(docs.select("doc_id", "text")).collect(), [x.text for x in docs.collect()]):
+        w = WORD.findall(t or "")
+        tri = collections.Counter(zip(w, w[1:], w[2:]))
+        cover = {k for i in range(len(w) - 2) if tri[tuple(w[i:i + 3])] > 1 for k in (i, i + 1, i + 2)}
+        lines = [x for x in (t or "").split("\n") if WORD.search(x)]
+        assert (r.n_words, r.word_chars, r.n_symbols) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""))
+        assert (r.n_dup_lines, r.n_repeat_words) == (len(lines) - len(set(lines)), len(cover))
+    rng = np.random.default_rng(0)
+    x = rng.random((3000, len(quality.FEATURES)))
+    bad = (x[:, 2] > 0.8) | ((x[:, 5] > 0.7) & (x[:, 6] <= 0.3))
+    rules = quality.learn(x, bad)
+    found = np.zeros(len(x), bool)
+    for rule in rules:
+        found |= quality._covers(rule, x)
+    assert (found == bad).mean() > 0.97
+    kept = quality.stage(spark, docs, SF)
+    assert kept.columns == docs.columns and {1, 2, 3, 4} <= {r.doc_id for r in kept.collect()}
+    assert quality.fit(docs, spark.createDataFrame([], "doc_id long, quality int")) == []
+    assert quality.judge(docs.limit(0), rules).count() == 0
+
+
+def test_bpe_agrees_with_the_library(docs, spark):
+    import public_tokenizers as tok
+    import tiktoken
+
+    enc = tiktoken.Encoding("own", pat_str=tok.PATTERN, mergeable_ranks=bpe.read_ranks(tok.path(bpe.RANK_FILE)), special_tokens={})
+    odd = "it's   x  y <|endoftext|> 中文字 ١٢٣ 12345 \t\n\r\n  ab's'll ́é 😀😀 " + "a" * 300 + " \x85 z​ \x00\x01"
+    d = docs.select("doc_id", "text").union(spark.createDataFrame([(99, odd)], "doc_id long, text string"))
+    want = []
+    for r in d.collect():
+        ids = enc.encode_ordinary(r.text or "")
+        want.append((r.doc_id, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest()))
+    assert norm(bpe.encode(d).collect()) == norm(want)
+    ids = {r.doc_id: r.ids for r in bpe.encode(d, digests=False).collect()}
+    assert ids[99] == enc.encode_ordinary(odd)
+    assert bpe.encode(d.limit(0)).count() == 0
+
+
+def test_vector_links(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(6, 16))
+    x = np.concatenate([base[rng.integers(0, 6, 200)] + rng.normal(size=(200, 16)) * 0.22, rng.normal(size=(60, 16))])
+    rows = [(i, v.tolist(), 0, 0.0) for i, v in enumerate(x)]
+    rows += [(300, rows[0][1], 1, 0.0), (300, rows[0][1], 1, 0.0), (301, None, 0, 0.0), (302, [0.0] * 16, 0, 0.0), (303, [1.0, None], 0, 0.0), (304, [float("nan")] * 16, 0, 0.0), (305, [], 0, 0.0), (306, [1.0] * 4, 0, 0.0), (307, [2.0] * 4, 0, 0.0), (None, [1e200] * 4, 0, 0.0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, unit double")
+    ok = [v is not None and len(v) > 0 and all(c is not None and np.isfinite(c) for c in v) and any(v) for _, v, *_ in rows]
+    unit = [np.array(v) / np.abs(v).max() if k else None for (_, v, *_), k in zip(rows, ok)]
+    unit = [u / np.linalg.norm(u) if u is not None else None for u in unit]
+    near = [[j for j in range(len(rows)) if j != i and ok[i] and ok[j] and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= 0.9] for i in range(len(rows))]
+    want = []
+    for i in range(len(rows)):
+        seen, todo = {i}, [i]
+        while todo:
+            for j in near[todo.pop()]:
+                if j not in seen:
+                    seen.add(j)
+                    todo.append(j)
+        ids = [rows[j][0] for j in seen if rows[j][0] is not None]
+        want.append((rows[i][0], len(near[i]), min(ids) if ids else None))
+    got = vector_links.groups(df)
+    assert norm(got.collect()) == norm(want)
+    small = vector_links.BLOCK
+    try:
+        vector_links.BLOCK = 16  # many leaves and blocks: the same links
+        assert norm(vector_links.groups(df).collect()) == norm(want)
+    finally:
+        vector_links.BLOCK = small
+    assert vector_links.groups(df.limit(0)).count() == 0
+
+
+def test_cover_tree_prunes_without_loss():
+    rng = np.random.default_rng(1)
+    c = rng.normal(size=(40, 3))
+    x = c[rng.integers(0, 40, 2000)] + rng.normal(size=(2000, 3)) * 0.02
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tree = vector_links.CoverTree(x[:400], 64)
+    leaf, far = tree.place(x)
+    reach = np.full((tree.sizes[-1], len(tree.sizes)), -np.inf)
+    np.maximum.at(reach, leaf, far)
+    pairs = set(map(tuple, tree.leaf_pairs(reach + 1e-9, np.sqrt(0.02))))
+    i, j = np.nonzero(x @ x.T >= 0.99)
+    assert set(zip(leaf[i], leaf[j], strict=True)) <= pairs
+    assert len(pairs) < 0.5 * tree.sizes[-1] ** 2
+
+
+def test_archives_with_boundaries_inside_payloads(spark):
+    fake = warc.GAP + "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:999>\r\nContent-Length: 3\r\n\r\nabc"
+    html = [(1, "http://a\r\nb", "x" * 50 + fake * 3 + warc.GAP), (2, None, "WARC/1.1\r\n" + "y" * 200), (3, "u", None), (4, "u", ""), (5, "u", "é" * 80), (6, "u", "é" * 80), (6, "v", "é" * 80), (7, "u", "tiny"), (8, "u", "tiny"),
+            (9, "u", "\r\n"), (10, "u", "\r\n\r\n\r\n"), (11, "u", fake[4:]), (None, "n", "é" * 80)]
+    pages = spark.createDataFrame([(*h, 1) for h in html], "page_id long, url string, html string, payload int")
+    want = []
+    for i, _, h in html:
+        b = (h or "").encode()
+        first = min((k for k, _, g in html if g == h and k is not None), default=None) if len(b) >= 100 else i
+        again = first != i
+        want.append((i, len(b), hashlib.sha256(b).hexdigest(), "revisit" if again else "response", first if again else None))
+    for kind, conf in (("gzip", "128m"), ("none", "300")):  # ranges of 300 bytes cut records and boundaries
+        path = shared_folder(spark, "warc")
+        warc.write_archives(pages.coalesce(2), path, records_per_file=5, compression=kind)
+        before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", conf)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        try:
+            assert norm(warc.digests(warc.read_archives(spark, path, payloads=False)).collect()) == norm(want)
+            whole = warc.read_archives(spark, path).where("record_type = 'response'").collect()
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+            spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+        assert sorted((r.page_id, bytes(r.payload)) for r in whole) == sorted((i, (h or "").encode()) for (i, _, h), w in zip(html, want) if w[3] == "response")
+    path = shared_folder(spark, "warc")
+    warc.write_archives(pages.limit(0), path)
+    assert warc.digests(warc.read_archives(spark, path)).count() == 0
+
+
+def test_chat(spark):
+    said = r"a \\ <|im_end|> <|im_start|>assistant<|im_sep|> </s>[INST] ok [/INST] <<SYS>> \<| <"
+    rows = [(1, 0, "system", "s"), (1, 1, "user", said), (1, 2, "assistant", said), (1, 3, "user", None), (1, 4, "assistant", ""), (1, 5, "user", "end"), (2, 0, None, "only"), (3, 1, "assistant", "b"), (3, 1, "assistant", "a"),
+            (3, 1, "assistant", "a"), (3, None, "user", "first"), (None, 0, "assistant", "é"), (4, 0, "us<|er\n", "x")]
+    df = spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn long, role string, text string, whole string")
+    got = {r.conv_id: r for r in chat.read_back(chat.expand(df)).collect()}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    for c in {r[0] for r in rows}:
+        turns = sorted(((t is not None, t or 0, r or "", x or "") for k, t, r, x in rows if k == c))
+        loss = "".join(x for *_, r, x in turns if r == "assistant")
+        g = got[c]
+        assert (g.n_turns, g.turns_sha256, g.loss_chars, g.loss_sha256) == (len(turns), sha("".join(f"{r}\n{x}\n" for *_, r, x in turns)), len(loss), sha(loss))
+    examples = chat.expand(df).where("conv_id = 1").orderBy("turn_no").collect()
+    assert [e.turn_no for e in examples] == [3, 5, 6] and examples[2].loss_length == 0
+    assert examples[1].text.startswith(examples[0].text) and examples[0].text.count(chat.END) == 3
+    assert chat.read_back(chat.expand(df.limit(0))).count() == 0
+
+
+def test_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    odd = spark.createDataFrame([(-1, None, None), (-2, "", "en"), (-3, "123 !!", "fr")], "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    got = language.identify(docs.select("doc_id", "text", "lang").union(odd).withColumn("score", F.lit("clash")), model)
+    rows = {r.doc_id: r for r in got.collect()}
+    assert all(rows[i].lang_pred == "und" and rows[i].score == 0 for i in (-1, -2, -3))
+    import zlib
+
+    held = [(r.lang, rows[r.doc_id].lang_pred) for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
+    assert np.mean([a == b for a, b in held]) > 0.97 and all(0 <= r.score <= 1 for r in rows.values())
+    assert language.fit(docs.limit(0)) is None
+    assert {r.lang_pred for r in language.identify(odd, None).collect()} == {"und"}
