@@ -35,8 +35,8 @@ def with_types(pages: DataFrame) -> DataFrame:
     return p.withColumn("record_type", F.when(again, "revisit").otherwise("response")).withColumn("refers_to", F.when(again, F.col("first_id")))
 
 
-def write_archives(pages: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE) -> None:
-    """One record per row of ``pages`` (page_id, url, html). Line breaks of a url are percent-encoded; a null url or page_id
+def write_archives(pages: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE, compression: str = "gzip") -> None:
+    """Archives of at most ``records_per_file`` records, compressed as a whole or not (``none``: then tasks read ranges of a file). One record per row of ``pages`` (page_id, url, html). Line breaks of a url are percent-encoded; a null url or page_id
     leaves its header out. Revisits carry no payload, but its digest and length. No rows give files without records."""
     p = with_types(pages.select("page_id", "url", "html"))
     url = F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
@@ -47,7 +47,7 @@ def write_archives(pages: DataFrame, path: str, records_per_file: int = RECORDS_
         F.concat(F.lit("WARC-Payload-Digest: sha256:"), "payload_digest"), F.concat(F.lit("X-Payload-Length: "), F.col("payload_bytes").cast("string")),
         F.concat(F.lit("Content-Length: "), F.octet_length(kept).cast("string")))
     record = F.concat(F.lit(MAGIC), head, F.lit(GAP), kept.cast("string"))
-    p.select(record.alias("value")).write.option("lineSep", GAP).option("maxRecordsPerFile", records_per_file).text(path)
+    p.select(record.alias("value")).write.option("lineSep", GAP).option("maxRecordsPerFile", records_per_file).option("compression", compression).text(path)
 
 
 def header(head: Column, name: str) -> Column:
@@ -65,12 +65,24 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
                       F.monotonically_increasing_id().alias("seq"), F.col("value").cast("binary").alias("body"))
 
 
+RECORD = ("record_type", "page_id", "refers_to", "url", "stated_digest", "stated_bytes", "payload_digest", "payload_bytes")
+
+
+def fields(body: Column) -> list[Column]:
+    """Header fields of a record that ``body`` starts with (with or without its magic)."""
+    head = F.substring_index(body.cast("string"), GAP, 1)
+    ident = lambda name: F.regexp_extract(header(head, name), r"<urn:page:(-?\d+)>", 1).try_cast("long")
+    return [F.octet_length(head).alias("head_bytes"), header(head, "Content-Length").try_cast("long").alias("length"), header(head, "WARC-Type").alias("record_type"),
+            ident("WARC-Record-ID").alias("page_id"), ident("WARC-Refers-To").alias("refers_to"), header(head, "WARC-Target-URI").alias("url"),
+            F.regexp_extract(header(head, "WARC-Payload-Digest"), r"sha256:([0-9a-f]+)", 1).alias("stated_digest"), header(head, "X-Payload-Length").try_cast("long").alias("stated_bytes")]
+
+
 def offsets(pieces: DataFrame) -> DataFrame:
-    """Candidate offsets and the successor that each candidate's Content-Length claims: small rows without payloads."""
-    text = F.col("body").cast("string")
-    head = F.substring_index(text, GAP, 1)
-    slim = pieces.select("file", "block", "seq", F.octet_length("body").cast("long").alias("bytes"),
-                         F.octet_length(head).cast("long").alias("head_bytes"), header(head, "Content-Length").try_cast("long").alias("length"))
+    """Candidate offsets, the successor that each candidate's Content-Length claims, and the record it would be if it held
+    no other candidate: small rows without payloads."""
+    slim = pieces.select("file", "block", "seq", F.octet_length("body").cast("long").alias("bytes"), *fields(F.col("body")), "body")
+    payload = F.expr("substring(body, head_bytes + 5, int(length))")
+    slim = slim.withColumns({"payload_digest": F.sha2(payload, 256), "payload_bytes": F.octet_length(payload).cast("long")}).drop("body")
     blocks = slim.groupBy("file", "block").agg(F.sum(F.col("bytes") + len(BOUNDARY)).alias("block_bytes"))
     ahead = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select("file", "block", F.coalesce(F.sum("block_bytes").over(ahead), F.lit(0)).alias("base"), (F.row_number().over(Window.partitionBy("file").orderBy("block")) == 1).alias("first_block"))
@@ -82,7 +94,7 @@ def offsets(pieces: DataFrame) -> DataFrame:
     off = F.col("base") + F.col("inner")
     start = F.when(first, F.lit(0)).otherwise(off - len(MAGIC))
     head_bytes = F.when(first, F.col("head_bytes") - len(MAGIC)).otherwise(F.col("head_bytes"))
-    return slim.select("file", "block", "seq", start.alias("off"), (start + head_bytes + len(GAP) + F.col("length") + len(BOUNDARY)).alias("next"))
+    return slim.select("file", "block", "seq", start.alias("off"), (start + head_bytes + len(GAP) + F.col("length") + len(BOUNDARY)).alias("next"), *RECORD)
 
 
 def reachable(spark: SparkSession, cand: DataFrame) -> DataFrame:
@@ -101,38 +113,39 @@ def reachable(spark: SparkSession, cand: DataFrame) -> DataFrame:
     return n
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Records of all archives below ``path``: record_type, page_id, refers_to, url, payload, stated digest and length.
+def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """Records of all archives below ``path``: record_type, page_id, refers_to, url, stated and measured digest and length, and
+    with ``payloads`` the payload.
 
     Pieces that the chain does not reach are magic inside a payload; they are put back into the record before them. A
-    record whose header cannot be read ends the chain of its file. Nothing in a payload can add a record.
+    record whose header cannot be read ends the chain of its file. Nothing in a payload can add a record. Only
+    records of several pieces, and payloads that are asked for, are shuffled; all else is measured where it is read.
     """
     pieces = written(candidates(spark, path), "warc-pieces")
     cand = written(offsets(pieces), "warc-candidates")
     real = reachable(spark, cand).withColumn("real", F.lit(True))
     upto = Window.partitionBy("file").orderBy("off").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     owner = (cand.join(real, ["file", "off"], "left").withColumn("owner", F.last(F.when(F.col("real"), F.col("off")), ignorenulls=True).over(upto))
-             .withColumn("parts", F.count("*").over(Window.partitionBy("file", "owner"))).where("owner IS NOT NULL").select("file", "block", "seq", "off", "owner", "parts"))
-    full = pieces.join(owner, ["file", "block", "seq"])
-    body = F.when(F.col("off") == 0, F.expr(f"substring(body, {len(MAGIC) + 1})")).otherwise(F.col("body"))
-    full = full.withColumn("body", body)
+             .withColumn("parts", F.count("*").over(Window.partitionBy("file", "owner"))).where("owner IS NOT NULL"))
+    owner = written(owner, "warc-owners")
+    wanted = owner.select("file", "block", "seq", "off", "owner", "parts")
+    wanted = wanted if payloads else written(wanted.where("parts > 1"), "warc-split")
+    full = pieces.join(wanted, ["file", "block", "seq"])
+    full = full.withColumn("body", F.when(F.col("off") == 0, F.expr(f"substring(body, {len(MAGIC) + 1})")).otherwise(F.col("body")))
     many = (full.where("parts > 1").groupBy("file", "owner").agg(F.array_sort(F.collect_list(F.struct("off", "body"))).alias("p"))
             .select(F.aggregate(F.expr("slice(p, 2, size(p))"), F.col("p")[0]["body"], lambda a, x: F.concat(a, F.lit(BOUNDARY).cast("binary"), x["body"])).alias("body")))
-    whole = full.where("parts = 1").select("body").union(many)
-    text = F.col("body").cast("string")
-    head = F.substring_index(text, GAP, 1)
-    r = whole.withColumn("head", head).withColumn("length", header(head, "Content-Length").try_cast("int"))
-    ident = lambda name: F.regexp_extract(header(F.col("head"), name), r"<urn:page:(-?\d+)>", 1)
-    return r.select(header(F.col("head"), "WARC-Type").alias("record_type"), ident("WARC-Record-ID").try_cast("long").alias("page_id"), ident("WARC-Refers-To").try_cast("long").alias("refers_to"),
-                    header(F.col("head"), "WARC-Target-URI").alias("url"), F.expr(f"substring(body, octet_length(head) + {len(GAP) + 1}, length)").alias("payload"),
-                    F.regexp_extract(header(F.col("head"), "WARC-Payload-Digest"), r"sha256:([0-9a-f]+)", 1).alias("stated_digest"), header(F.col("head"), "X-Payload-Length").cast("long").alias("stated_bytes"))
+    whole = full.where("parts = 1").select("body").union(many) if payloads else many
+    out = whole.select(*fields(F.col("body")), "body").withColumn("payload", F.expr("substring(body, head_bytes + 5, int(length))"))
+    out = out.withColumns({"payload_digest": F.sha2("payload", 256), "payload_bytes": F.octet_length("payload").cast("long")})
+    if payloads:
+        return out.select(*RECORD, "payload")
+    return owner.where("parts = 1").select(*RECORD).union(out.select(*RECORD))
 
 
 def digests(records: DataFrame) -> DataFrame:
     """Length and digest of each record's full payload: of the payload read for responses; for revisits that of the response
     referred to, which must be the one stated (else null). Responses that many records refer to are copied to SALTS rows."""
-    r = records.withColumn("payload_digest", F.sha2("payload", 256)).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    r = r.select("page_id", "record_type", "refers_to", "payload_bytes", "payload_digest", "stated_digest")
+    r = records.select("page_id", "record_type", "refers_to", "payload_bytes", "payload_digest", "stated_digest")
     r = written(r, "warc-records")
     again = r.where("record_type = 'revisit'").withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
     wanted = again.select(F.col("refers_to").alias("wanted_id")).distinct()
@@ -147,7 +160,7 @@ def op2(spark, sf_dir: str) -> DataFrame:
     """Write all pages as archives in the shared folder and read them back."""
     path = shared_folder(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), path)
-    return digests(read_archives(spark, path))
+    return digests(read_archives(spark, path, payloads=False))
 
 
 OP2_SQL = """
