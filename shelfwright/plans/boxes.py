@@ -251,7 +251,7 @@ def w5(d):
 J25 = {
     **ROWS,
     "nrow": "SELECT scan_id, max(row_idx) + 1 AS n FROM rows1 GROUP BY scan_id",
-    "shelves": "SELECT scan_id, s, row_number() OVER (PARTITION BY scan_id ORDER BY s) - 1 AS i, count(*) OVER (PARTITION BY scan_id) AS k FROM (SELECT DISTINCT scan_id // 8 AS scan_id, l_suppkey % 4 + 1 AS s FROM base WHERE ln <= 6 AND scan_id % 3 <> 0)",
+    "shelves": "SELECT scan_id, s, row_number() OVER (PARTITION BY scan_id ORDER BY s) - 1 AS i, count(*) OVER (PARTITION BY scan_id) AS k FROM (SELECT DISTINCT scan_id // 8 AS scan_id, l_suppkey % 4 + 1 AS s FROM base)",
 }
 
 
@@ -260,7 +260,7 @@ def j25(d):
     """Photo rows to planogram shelves, aligned at the bottom when the photo shows extra rows."""
     n = B.shelf_rows(d.fac).groupBy("scan_id").agg((F.max("row_idx") + 1).alias("n"))
     text = F.concat(F.lit("Shelf "), (F.col("l_suppkey") % 4 + 1).cast("string"), F.lit(" / Position 1"))
-    items = d.base.where("ln <= 6 AND scan_id % 3 <> 0").select(F.floor(F.col("scan_id") / 8).alias("scan_id"), text.alias("shelf_position"))
+    items = d.base.select(F.floor(F.col("scan_id") / 8).alias("scan_id"), text.alias("shelf_position"))
     num = F.regexp_extract("shelf_position", r"(?i)shelf\s*(\d+)", 1)
     shelves = items.select("scan_id", F.nullif(num, F.lit("")).try_cast("int").alias("s")).where("s IS NOT NULL").distinct()
     w = Window.partitionBy("scan_id")

@@ -75,15 +75,15 @@ def r4(d):
     return CP.suggestions(CP.compare_planogram(d.plan, d.inv))
 
 
-@query("j9_wrong_location", """SELECT u.scan_id, u.j, arg_min(p.location, p.pos) AS expected_aisle FROM (SELECT a.*, s.store_id FROM a_ a JOIN scans s ON a.scan_id = s.scan_id WHERE a.j % 10 = 7) u
-    JOIN (SELECT s.store_id, p.pos, p.location, lower(replace(brand, '#', '')) AS bk, lower(product_name || ' ' || variant) AS p FROM plan p JOIN scans s ON p.scan_id = s.scan_id WHERE p.ln = 1) p
+@query("j9_wrong_location", """SELECT u.scan_id, u.j, arg_min(p.location, p.pos) AS expected_aisle FROM (SELECT a.*, s.store_id FROM a_ a JOIN scans s ON a.scan_id = s.scan_id) u
+    JOIN (SELECT s.store_id, p.pos, p.location, lower(replace(brand, '#', '')) AS bk, lower(product_name || ' ' || variant) AS p FROM plan p JOIN scans s ON p.scan_id = s.scan_id) p
     ON u.store_id = p.store_id AND lower(replace(u.brand, '#', '')) = p.bk, LATERAL (SELECT lower(u.product_name || ' ' || u.variant) AS q) q, LATERAL (SELECT len(list_intersect(list_distinct(string_split(p.p, ' ')), list_distinct(string_split(q.q, ' ')))) / CAST(greatest(len(list_distinct(string_split(p.p, ' '))), len(list_distinct(string_split(q.q, ' ')))) AS DOUBLE) AS ov) o
     WHERE CASE WHEN p.p = q.q THEN 0.95e0 WHEN contains(p.p, q.q) OR contains(q.q, p.p) THEN 0.88e0 WHEN ov >= 0.5e0 THEN 0.6e0 + 0.4e0 * ov ELSE 0.45e0 END >= 0.6e0 AND NOT EXISTS (SELECT 1 FROM plan h WHERE h.scan_id = u.scan_id AND h.location = p.location) GROUP BY u.scan_id, u.j""", CMP)
 def j9(d):
     stores = d.scans.select("scan_id", "store_id")
     inv = CP.merge_inventory(d.inv)
-    a = inv.where("pos % 10 = 7").select("scan_id", c("pos").alias("j"), CP._features(inv, F.lit("")).alias("a")).join(stores, "scan_id")
-    plan = d.plan.where("ln = 1").withColumn("sku", F.lit(""))
+    a = inv.select("scan_id", c("pos").alias("j"), CP._features(inv, F.lit("")).alias("a")).join(stores, "scan_id")
+    plan = d.plan.withColumn("sku", F.lit(""))
     e = plan.select("scan_id", "pos", c("location").alias("aisle"), CP._features(plan, F.lit("")).alias("e")).join(stores, "scan_id").drop("scan_id")
     return CP.wrong_location(a, e, d.plan.select("scan_id", c("location").alias("aisle")).distinct())
 
@@ -295,11 +295,11 @@ def g66(d):
             .join(acts, "scan_id", "left").withColumn("actions", F.coalesce("actions", F.lit(0))))
 
 
-@query("g68_exception_list", "SELECT scan_id, pos, issue_type FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY pos) AS rn FROM lines) WHERE rn <= 3 AND coalesce(issue_type, '') <> 'correct'")
+@query("g68_exception_list", "SELECT scan_id, pos, issue_type FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY pos) AS rn FROM lines) WHERE rn <= 25 AND coalesce(issue_type, '') <> 'correct'")
 def g68(d):
     """The first lines of a scan, then the exceptions among them: the limit comes before the filter."""
     rn = F.row_number().over(Window.partitionBy("scan_id").orderBy("pos"))
-    return d.lines.withColumn("rn", rn).where("rn <= 3").where(F.coalesce("issue_type", F.lit("")) != "correct").select("scan_id", "pos", "issue_type")
+    return d.lines.withColumn("rn", rn).where("rn <= 25").where(F.coalesce("issue_type", F.lit("")) != "correct").select("scan_id", "pos", "issue_type")
 
 
 @query("a11_kpi_export", """SELECT scan_id, unnest(['Visible facings', 'Unique SKUs', 'Unique brands', 'Recognition coverage %', 'On-shelf availability %']) AS kpi, unnest([CAST(total_facings AS DOUBLE), unique_skus, unique_brands, recognition_coverage_percent, availability_percent]) AS value,

@@ -44,7 +44,7 @@ def w12(d):
 AL = {
     **PB.ROWS,
     "nr": "SELECT scan_id, max(row_idx) + 1 AS rows FROM rows1 GROUP BY scan_id",
-    "wt": "SELECT scan_id // 8 AS scan_id, pos * 8 + scan_id % 8 AS pos, greatest(1, expected_qty) AS weight FROM plan WHERE ln <= 2 AND scan_id % 8 < 2",
+    "wt": "SELECT scan_id // 8 AS scan_id, pos * 8 + scan_id % 8 AS pos, greatest(1, expected_qty) AS weight FROM plan",
     "wr": "SELECT w.*, n.rows, count(*) OVER (PARTITION BY w.scan_id) AS skus, sum(weight) OVER (PARTITION BY w.scan_id) AS total, row_number() OVER (PARTITION BY w.scan_id ORDER BY pos) AS rn FROM wt w JOIN nr n ON w.scan_id = n.scan_id",
     "aw": """/*recursive*/ SELECT scan_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS pos, CAST(0 AS BIGINT) AS span, CAST(0 AS BIGINT) AS last_row FROM (SELECT DISTINCT scan_id FROM wr)
         UNION ALL SELECT r.scan_id, r.rn, r.pos, s.n, w.last_row + s.n FROM aw w JOIN wr r ON r.scan_id = w.scan_id AND r.rn = w.rn + 1, LATERAL (SELECT CAST(CASE WHEN r.rows <= r.skus THEN CASE WHEN w.rn < r.rows THEN 1 ELSE 0 END WHEN r.rn = r.skus THEN r.rows - w.last_row
@@ -54,7 +54,7 @@ AL = {
 
 
 def _weights(d):
-    p = d.plan.where("ln <= 2 AND scan_id % 8 < 2")
+    p = d.plan
     return p.select(F.floor(c("scan_id") / 8).alias("scan_id"), (c("pos") * 8 + c("scan_id") % 8).alias("pos"), c("expected_qty").alias("weight"))
 
 
@@ -79,8 +79,8 @@ def f26(d):
 
 
 SLOT = {
-    "sl": "SELECT scan_id, pos, lower(pack_text) AS t, row_number() OVER (PARTITION BY scan_id ORDER BY x1 + x2, pos) - 1 AS rk, count(*) OVER (PARTITION BY scan_id) AS ns FROM fac WHERE pack_text <> '' AND ln <= 3",
-    "cd": "SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY ppos) - 1 AS ci, count(*) OVER (PARTITION BY scan_id) AS nc FROM (SELECT scan_id // 8 AS scan_id, pos * 8 + scan_id % 8 AS ppos, lower(brand) AS b, lower(product_name) AS n, sub_category AS s FROM plan WHERE ln <= 3)",
+    "sl": "SELECT scan_id, pos, lower(pack_text) AS t, row_number() OVER (PARTITION BY scan_id ORDER BY x1 + x2, pos) - 1 AS rk, count(*) OVER (PARTITION BY scan_id) AS ns FROM fac WHERE pack_text <> ''",
+    "cd": "SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY ppos) - 1 AS ci, count(*) OVER (PARTITION BY scan_id) AS nc FROM (SELECT scan_id // 8 AS scan_id, pos * 8 + scan_id % 8 AS ppos, lower(brand) AS b, lower(product_name) AS n, sub_category AS s FROM plan)",
     "ss": """SELECT f.scan_id AS g, f.pos AS l, p.ppos AS r, CASE WHEN contains(f.t, p.b) THEN least(1.0e0, 1.0e0 * 0.55e0 + len(list_intersect(list_distinct(string_split(p.n, ' ')), list_distinct(string_split(f.t, ' ')))) / CAST(greatest(len(list_distinct(string_split(p.n, ' '))), len(list_distinct(string_split(f.t, ' ')))) AS DOUBLE) * 0.33e0
         + CASE WHEN contains(f.t, p.s) THEN 0.12e0 ELSE 0.0e0 END + least(0.35e0, len(list_filter(string_split(p.n, ' '), lambda w: length(w) >= 4 AND contains(f.t, w))) * 0.08e0)) ELSE 0.0e0 END AS score FROM sl f JOIN cd p ON f.scan_id = p.scan_id""",
     "s22": "SELECT * FROM ss WHERE score >= 0.22e0",
@@ -95,8 +95,8 @@ def j24(d):
     from shelfwright.operators.planogram_match import related_brands
 
     w = Window.partitionBy("scan_id")
-    f = d.fac.where("pack_text <> '' AND ln <= 3").select("scan_id", "pos", F.lower("pack_text").alias("t"), (c("x1") + c("x2")).alias("x"))
-    p = d.plan.where("ln <= 3").select(F.floor(c("scan_id") / 8).alias("scan_id"), (c("pos") * 8 + c("scan_id") % 8).alias("ppos"), F.lower("brand").alias("b"), F.lower("product_name").alias("n"), c("sub_category").alias("s"))
+    f = d.fac.where("pack_text <> ''").select("scan_id", "pos", F.lower("pack_text").alias("t"), (c("x1") + c("x2")).alias("x"))
+    p = d.plan.select(F.floor(c("scan_id") / 8).alias("scan_id"), (c("pos") * 8 + c("scan_id") % 8).alias("ppos"), F.lower("brand").alias("b"), F.lower("product_name").alias("n"), c("sub_category").alias("s"))
     brands = d.table("part").select(F.lower("p_brand").alias("bk")).distinct()
     named = related_brands(f.select(c("t").alias("bk")), brands).select(c("a").alias("t"), "b")
     pairs = f.join(named, "t").join(p, ["scan_id", "b"]).withColumn("score", TM.candidate_score(c("t"), c("b"), c("n"), c("s"))).where("score >= 0.22")

@@ -271,10 +271,10 @@ def g55(d):
                     (F.col("p.code").isin("enterprise", "payg") | quota.isNull() | (F.col("scans") < quota)).alias("can_start_scan"))
 
 
-@query("g56_feature_entitlement", """SELECT event_id, CASE WHEN event_type = 'signup' THEN true ELSE coalesce(CAST(json_extract_string(props, '$.k') AS INT) % 2 = 1, false) END AS enabled FROM ev WHERE event_type <> 'error'""")
+@query("g56_feature_entitlement", """SELECT event_id, CASE WHEN event_type = 'signup' THEN true ELSE coalesce(CAST(json_extract_string(props, '$.k') AS INT) % 2 = 1, false) END AS enabled FROM ev""")
 def g56(d):
     ents = F.from_json(F.concat(F.lit('{"api":'), F.when(F.get_json_object("props", "$.k").cast("int") % 2 == 1, "true").otherwise("false"), F.lit("}")), "map<string,boolean>")
-    return d.ev.where("event_type <> 'error'").select("event_id", F.when(F.col("event_type") == "signup", True).otherwise(F.coalesce(F.try_element_at(ents, F.lit("api")), F.lit(False))).alias("enabled"))
+    return d.ev.select("event_id", F.when(F.col("event_type") == "signup", True).otherwise(F.coalesce(F.try_element_at(ents, F.lit("api")), F.lit(False))).alias("enabled"))
 
 
 @query("f19_json_fields", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k, json_exists(props, '$.k') AS has_k FROM ev")

@@ -95,9 +95,9 @@ def v14b(d):
 
 ITEMS = {
     "it": "SELECT scan_id, pos, brand, category AS aisle, lower(product_name || ' ' || pack_text) AS text FROM fac",
-    "kw": "SELECT DISTINCT category AS class_id, split_part(p_name, ' ', 1) AS word FROM base WHERE l_partkey % 29 = 0",
+    "kw": "SELECT DISTINCT category AS class_id, split_part(p_name, ' ', 1) AS word FROM base",
     "sc": """SELECT i.scan_id, i.pos, i.aisle, k.class_id, count(*) AS hits FROM (SELECT scan_id, pos, aisle, unnest(list_distinct(string_split_regex(text, '[^a-z0-9#]+'))) AS word FROM it) i JOIN kw k ON i.word = k.word GROUP BY ALL""",
-    "bc": "SELECT brand, min(class_id) AS by_brand FROM (SELECT DISTINCT p_brand AS brand, category AS class_id FROM base WHERE l_partkey % 97 = 0) GROUP BY brand HAVING count(*) = 1",
+    "bc": "SELECT brand, min(class_id) AS by_brand FROM (SELECT DISTINCT p_brand AS brand, category AS class_id FROM base) GROUP BY brand HAVING count(*) = 1",
 }
 
 
@@ -106,13 +106,13 @@ def _items(d):
 
 
 def _kw(d):
-    return d.base.where("l_partkey % 29 = 0").select(c("category").alias("class_id"), F.split("p_name", " ")[0].alias("word")).distinct()
+    return d.base.select(c("category").alias("class_id"), F.split("p_name", " ")[0].alias("word")).distinct()
 
 
 @query("v15_subcategory_inference", """SELECT i.scan_id, i.pos, coalesce(b.class_id, bc.by_brand) AS class_id FROM it i LEFT JOIN (SELECT scan_id, pos, class_id FROM (SELECT *, row_number() OVER (PARTITION BY scan_id, pos ORDER BY hits DESC, class_id) AS rn FROM sc) WHERE rn = 1) b
     ON i.scan_id = b.scan_id AND i.pos = b.pos LEFT JOIN bc ON i.brand = bc.brand""", ITEMS)
 def v15(d):
-    brands = d.base.where("l_partkey % 97 = 0").select(c("p_brand").alias("brand"), c("category").alias("class_id")).distinct()
+    brands = d.base.select(c("p_brand").alias("brand"), c("category").alias("class_id")).distinct()
     return TM.infer_class(_items(d), _kw(d), brands)
 
 
@@ -202,10 +202,9 @@ def v23(d):
     return p.where(~((c("p_type") == "PROMO") & c("p_name").contains("ring"))).join(reject, "p_brand", "left_anti").select("p_partkey")
 
 
-@query("v25_expand_units", "SELECT scan_id, pos, unnest(range(1, greatest(1, quantity) + 1)) AS unit FROM inv WHERE brand = 'Brand#3' OR quantity = 0")
+@query("v25_expand_units", "SELECT scan_id, pos, unnest(range(1, greatest(1, quantity) + 1)) AS unit FROM inv")
 def v25(d):
-    rows = d.inv.where((c("brand") == "Brand#3") | (c("quantity") == 0))
-    return rows.select("scan_id", "pos", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), c("quantity")))).alias("unit"))
+    return d.inv.select("scan_id", "pos", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), c("quantity")))).alias("unit"))
 
 
 @query("v26_allow_block_lists", """SELECT f.scan_id, f.pos FROM fac f WHERE contains(lower(pack_text), lower(brand)) OR (NOT EXISTS (SELECT 1 FROM part b WHERE b.p_size = 50 AND b.p_brand = f.brand AND 'sub_' || (b.p_partkey % 11) = f.sub_category) AND NOT regexp_matches(lower(pack_text), 'anvil|rod'))""")
@@ -320,14 +319,14 @@ def j28(d):
 
 JT = {
     "tx": "SELECT pos * 2 + scan_id % 2 AS k, scan_id, pos, lower(pack_text) AS text, brand, product_name FROM fac",
-    "ca": "SELECT p_partkey AS sku, lower(p_brand) AS brand_token, list_distinct(string_split(p_name || ' ' || lower(p_type), ' ')) AS words FROM part WHERE p_size <= 25",
+    "ca": "SELECT p_partkey AS sku, lower(p_brand) AS brand_token, list_distinct(string_split(p_name || ' ' || lower(p_type), ' ')) AS words FROM part",
     "mt": """SELECT scan_id, pos, sku, score FROM (SELECT t.scan_id, t.pos, c.sku, round_even(0.5e0 * (len(list_intersect(c.words, tw)) / CAST(len(c.words) AS DOUBLE)) + 0.5e0 + 0.0e0, 4) AS score FROM (SELECT *, list_distinct(string_split_regex(text, '[^a-z0-9#]+')) AS tw FROM tx) t JOIN ca c ON list_contains(t.tw, c.brand_token))
         QUALIFY row_number() OVER (PARTITION BY scan_id, pos ORDER BY score DESC, sku) = 1""",
 }
 
 
 def _matched(d):
-    cat = d.table("part").where("p_size <= 25").select(c("p_partkey").alias("sku"), F.lower("p_brand").alias("brand_token"),
+    cat = d.table("part").select(c("p_partkey").alias("sku"), F.lower("p_brand").alias("brand_token"),
         F.array_distinct(F.split(F.concat_ws(" ", c("p_name"), F.lower("p_type")), " ")).alias("words"), F.lit(None).cast("string").alias("volume"))
     # Equal words of a brand are one candidate: the smallest SKU wins anyway.
     cat = cat.groupBy("brand_token", F.array_sort("words").alias("words"), "volume").agg(F.min("sku").alias("sku"))

@@ -143,7 +143,7 @@ def j16(d):
     return j.select("p_partkey", F.coalesce("own", "brand_donor", first).alias("donor"))
 
 
-@query("j17_learned_merge", """SELECT p_partkey AS sku, p_partkey AS class_id FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT p_partkey, (SELECT max(p_partkey) FROM part WHERE p_partkey % 3 = 0) + row_number() OVER (ORDER BY p_partkey) FROM part WHERE p_partkey % 3 = 1 AND p_size > 25""")
+@query("j17_learned_merge", """SELECT p_partkey AS sku, p_partkey AS class_id FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT p_partkey, (SELECT max(p_partkey) FROM part WHERE p_partkey % 3 = 0) + row_number() OVER (ORDER BY p_partkey) FROM part WHERE p_partkey % 3 <> 0""")
 def j17(d):
     """Unseen learned SKUs get the next class ids.
 
@@ -152,7 +152,7 @@ def j17(d):
     """
     p = d.table("part")
     base = p.where("p_partkey % 3 = 0").select(c("p_partkey").alias("sku"), c("p_partkey").alias("class_id"))
-    new = p.where("p_partkey % 3 = 1 AND p_size > 25").select(c("p_partkey").alias("sku")).join(base.select("sku"), "sku", "left_anti")
+    new = p.where("p_partkey % 3 <> 0").select(c("p_partkey").alias("sku")).join(base.select("sku"), "sku", "left_anti")
     top = base.agg(F.max("class_id")).first()[0]
     width = 4096
     slots = new.withColumn("slot", F.floor(c("sku") / width))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,12 +27,15 @@ def local_session(cores: str = "8", app: str = "shelfwright") -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder, or a temporary one where none is set (tests)."""
+    """The cluster's shared checkpoint folder; in local mode (tests) a temporary one where none is set."""
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    target = shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    target = spark.conf.get("spark.checkpoint.dir", None)
+    if not target:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        target = tempfile.mkdtemp(prefix="spark-")
     spark.sparkContext.setCheckpointDir(target)
     return target
 

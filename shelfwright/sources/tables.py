@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,30 +33,45 @@ def canonical_header(header: str) -> str:
     return _CANONICAL.get(key, key.replace(" ", "_"))
 
 
-def sniff_separator(spark: SparkSession, path: str) -> str:
+def separator_of(line: str) -> str:
     """';' when the header line has more of them than commas."""
-    first = spark.read.text(path).limit(1).first()
-    line = first[0] if first else ""
     return ";" if line.count(";") > line.count(",") else ","
 
 
+def file_headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Header line to the files that start with it. The driver holds file names and distinct headers, no rows."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), "value")
+    first = lines.where("block = 0").groupBy("file").agg(F.min_by("value", "n").alias("line"))
+    return {r.line: r.files for r in first.groupBy("line").agg(F.collect_list("file").alias("files")).orderBy("line").collect()}
+
+
 def read_csv(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
-    """All-string rows under canonical headers, with the file each row came from."""
-    df = spark.read.option("header", True).option("sep", sep or sniff_separator(spark, path)).option("quote", '"').option("escape", '"').csv(path)
-    names = [canonical_header(c) for c in df.columns]
-    src = F.col("_metadata.file_path").alias("source_file")
-    first_of = {n: i for i, n in reversed(list(enumerate(names)))}
-    return df.select(*[F.col(f"`{df.columns[i]}`").alias(n) for n, i in sorted(first_of.items(), key=lambda kv: kv[1])], src)
+    """All-string rows under canonical headers, with the file each row came from.
+
+    Files are read under their own header and separator and put together by column name; a column that a file lacks is null.
+    """
+    parts = []
+    for line, files in file_headers(spark, path).items():
+        # Spark writes file names in URLs; a reader takes them as paths.
+        df = spark.read.option("header", True).option("sep", sep or separator_of(line)).option("quote", '"').option("escape", '"').csv([unquote(f) for f in files])
+        names = [canonical_header(c) for c in df.columns]
+        first_of = {n: i for i, n in reversed(list(enumerate(names)))}
+        parts.append(df.select(*[F.col(f"`{df.columns[i]}`").alias(n) for n, i in sorted(first_of.items(), key=lambda kv: kv[1])], F.col("_metadata.file_path").alias("source_file")))
+    if not parts:
+        return spark.createDataFrame([], "source_file string")
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
 
 
 def read_planogram_csv(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
-    """Validated planogram rows; a file without the required columns is refused with their names."""
+    """Validated planogram rows; files without the required columns are refused with the names of the columns."""
+    for line in file_headers(spark, path):
+        names = {canonical_header(c.strip().strip('"')) for c in line.split(sep or separator_of(line))}
+        missing = [c for c in REQUIRED if c not in names]
+        if not {"expected_facings", "expected_qty"} & names:
+            missing.append("expected_facings or expected_qty")
+        if missing:
+            raise ValueError("missing required column: " + ", ".join(missing))
     df = read_csv(spark, path, sep)
-    missing = [c for c in REQUIRED if c not in df.columns]
-    if not {"expected_facings", "expected_qty"} & set(df.columns):
-        missing.append("expected_facings or expected_qty")
-    if missing:
-        raise ValueError("missing required column: " + ", ".join(missing))
     for c in HEADER_ALIASES:
         if c not in df.columns:
             df = df.withColumn(c, F.lit(None).cast("string"))

@@ -13,10 +13,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from shelfwright.session import ensure_checkpoint_dir
 
 
-def event_stream(spark: SparkSession, folder: str, name: str = "events", delay: str = "10 minutes") -> DataFrame:
-    """Append-only event source with a watermark on ``ts``."""
+def event_stream(spark: SparkSession, folder: str, name: str = "events", delay: str = "10 minutes", files_per_trigger: int = 64) -> DataFrame:
+    """Append-only event source with a watermark on ``ts``; the table is a file or a folder of part files."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", 64).parquet(folder)
+    # As a pattern, since a stream takes a plain path for a folder.
+    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{folder}/{name}.parque[t]")
     return raw.withColumn("ts", F.col("ts").cast("timestamp")).withColumnRenamed("user_id", "org_id").withWatermark("ts", delay)
 
 
@@ -48,7 +49,8 @@ def sessions(events: DataFrame, gap: str) -> DataFrame:
 
 
 def first_per_key(events: DataFrame, *keys: str) -> DataFrame:
-    return events.dropDuplicatesWithinWatermark(list(keys))
+    """Each key once, whenever its rows arrive: the keys stay in the state, and no row is late (the event time is dropped)."""
+    return events.select(*keys).dropDuplicates(list(keys))
 
 
 def _rows(pdfs: Iterator[pd.DataFrame]) -> pd.DataFrame:
