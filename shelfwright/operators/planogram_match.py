@@ -15,7 +15,9 @@ MATCHED, CLOSEST, BRAND_ONLY, UNCERTAIN = 0.72, 0.58, 0.55, 0.3
 FLAVOUR_CAP = 0.29
 PLACEHOLDERS = ["unverifiable", "unknown", "unidentified", "n/a", "na", "none", "null", "-", "—"]
 UNREAD = ["UNVERIFIABLE", "UNKNOWN", "UNIDENTIFIED"]
+# Words for the product class, and filler in flavour names.
 CHIPS = r"\b(chips?|potato\s+chips?|crisps?|wafers?)\b"
+FILLER = r"\b(spanish|american\s+style|india'?s?|classic)\b"
 # Flavour phrases and the key they share, longest first.
 FLAVOURS = [
     ("spanish tomato tango", "tomato tango"), ("tangy tomato", "tomato tango"), ("tomato tango", "tomato tango"),
@@ -23,7 +25,6 @@ FLAVOURS = [
     ("cream and onion", "cream and onion"), ("india's magic masala", "magic masala"),
     ("indias magic masala", "magic masala"), ("magic masala", "magic masala"),
 ]
-FILLER = r"\b(spanish|american\s+style|india'?s?|classic)\b"
 # Pack and size words that never tell two variants apart.
 PACK_WORDS = [
     "pack", "packs", "pc", "pcs", "piece", "pieces", "g", "gm", "gms", "kg", "ml", "l", "ltr", "x", "new", "combo",
