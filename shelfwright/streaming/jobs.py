@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -157,23 +158,35 @@ def within_window(left: DataFrame, right: DataFrame, key: str, minutes: int) ->
     return a.join(b, cond, "left_outer").select("k", "left_id", "right_id")
 
 
-def upsert_stream(events: DataFrame, base: DataFrame, key: str, version: str, name: str) -> DataFrame:
-    """Every micro-batch merges its newest row per key into the next version of the table."""
+def upsert_stream(events: DataFrame, base: DataFrame, key: str, version: str, name: str, root: str | None = None) -> DataFrame:
+    """Every micro-batch merges its newest row per key into the next version of the table.
+
+    Batch n turns version n - 1 into version n, so a repeated or restarted batch gives the same table. ``versions`` below ``root``
+    records what is complete; a restart with the same ``root`` goes on from there and does not look at ``base``.
+    """
     from shelfwright.sources.tables import upsert
 
     spark = events.sparkSession
-    root = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    base.write.parquet(f"{root}/v-1")
-    current = {"path": f"{root}/v-1"}
+    fresh = root is None
+    root = root or f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    done = lambda n: spark.createDataFrame([(n,)], "n long").write.mode("append").parquet(f"{root}/versions")
+    if not fresh:
+        try:
+            spark.read.schema("n long").parquet(f"{root}/versions").first()
+        except AnalysisException:  # no version yet
+            fresh = True
+    if fresh:
+        base.write.mode("overwrite").parquet(f"{root}/v-1")
+        done(-1)
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        target = f"{root}/v{epoch}"
-        upsert(spark.read.parquet(current["path"]), batch, key, version).write.mode("overwrite").parquet(target)
-        current["path"] = target
+        upsert(spark.read.parquet(f"{root}/v{epoch - 1}"), batch, key, version).write.mode("overwrite").parquet(f"{root}/v{epoch}")
+        done(epoch)
 
     q = events.writeStream.foreachBatch(merge).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(current["path"])
+    last = spark.read.parquet(f"{root}/versions").agg(F.max("n")).first()[0]
+    return spark.read.parquet(f"{root}/v{last}")
 
 
 def late_rows(events: DataFrame, minutes: int, width: int = 1024) -> DataFrame:

@@ -44,3 +44,22 @@ def test_files_with_their_own_header_and_separator(spark, tmp_path):
     (tmp_path / "c.csv").write_text("Store,Brand\nS3,B3\n")
     with pytest.raises(ValueError, match="category"):
         T.read_planogram_csv(spark, str(tmp_path))
+
+
+def test_upsert_goes_on_after_a_restart(spark, tmp_path):
+    base = spark.createDataFrame([(1, "base", -1), (2, "base", -1)], "sku long, kind string, v long")
+    source = str(tmp_path / "in.parquet")
+
+    def add(rows):
+        spark.createDataFrame(rows, base.schema).coalesce(1).write.mode("append").parquet(source)
+
+    def run():
+        stream = spark.readStream.schema(base.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        return sorted(map(tuple, J.upsert_stream(stream, base, "sku", "v", "probe", str(tmp_path / "table")).collect()))
+
+    add([(1, "a", 5)])
+    add([(1, "old", 3), (3, "c", 4)])
+    assert run() == [(1, "a", 5), (2, "base", -1), (3, "c", 4)]
+    add([(2, "b", 9)])
+    assert run() == [(1, "a", 5), (2, "b", 9), (3, "c", 4)]
+    assert run() == [(1, "a", 5), (2, "b", 9), (3, "c", 4)]
