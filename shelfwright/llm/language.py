@@ -41,24 +41,32 @@ def presence(flat: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
-def normed(x: np.ndarray) -> np.ndarray:
-    """Rows at length one: products are then the share of common n-grams, |x and y| / sqrt(|x| |y|)."""
-    return x / np.sqrt(np.maximum(1, x.sum(axis=1, keepdims=True)))
+def unpacked(bits: np.ndarray) -> np.ndarray:
+    return np.unpackbits(bits, axis=1).astype(np.float32)
 
 
 class Kernel:
-    """Kernel ridge regression on Nyström features of landmark texts."""
+    """Kernel ridge regression on Nyström features: the share of n-grams that a text has in common with each landmark text,
+    |x and l| / sqrt(|x| |l|). Presence is kept as bits; only landmarks and a batch of rows are unpacked at a time."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, names: list[str], landmarks: np.ndarray, ridge: float = RIDGE):
-        self.names, self.landmarks = names, normed(x[landmarks]).astype(np.float32)
-        k = normed(x).astype(np.float64) @ self.landmarks.T.astype(np.float64)
+    def __init__(self, bits: np.ndarray, y: np.ndarray, names: list[str], landmarks: np.ndarray, ridge: float = RIDGE):
+        self.names, self.landmarks, self.weights = names, bits[landmarks], None
+        k = np.concatenate([self.shares(unpacked(bits[i:i + ROWS])) for i in range(0, len(bits), ROWS)]).astype(np.float64)
         target = np.where(y[:, None] == np.arange(len(names)), 1.0, 0.0)
-        among = self.landmarks.astype(np.float64) @ self.landmarks.T
-        self.weights = np.linalg.lstsq(k.T @ k + ridge * len(x) * among + 1e-9 * np.eye(len(among)), k.T @ target, rcond=None)[0]
+        among = k[landmarks]
+        self.weights = np.linalg.lstsq(k.T @ k + ridge * len(bits) * among + 1e-9 * np.eye(len(among)), k.T @ target, rcond=None)[0]
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "matrix"}
+
+    def shares(self, x: np.ndarray) -> np.ndarray:
+        if "matrix" not in self.__dict__:
+            m = unpacked(self.landmarks)
+            self.matrix = m.T / np.sqrt(np.maximum(1, m.sum(axis=1)))
+        return (x @ self.matrix) / np.sqrt(np.maximum(1, x.sum(axis=1, keepdims=True)))
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        share = (x @ self.landmarks.T) / np.sqrt(np.maximum(1, x.sum(axis=1, keepdims=True)))
-        return share @ self.weights
+        return self.shares(x) @ self.weights
 
 
 def fit(docs: DataFrame, fold: int = FOLD, per_language: int = PER_LANGUAGE) -> Kernel | None:
@@ -87,7 +95,7 @@ def fit(docs: DataFrame, fold: int = FOLD, per_language: int = PER_LANGUAGE) ->
     if not len(rows):
         return None
     rows = rows.drop_duplicates(["lang", "k"]).sort_values(["lang", "k"], ignore_index=True)
-    x = np.unpackbits(np.stack([np.frombuffer(b, np.uint8) for b in rows["bits"]]), axis=1).astype(np.float32)
+    x = np.stack([np.frombuffer(b, np.uint8) for b in rows["bits"]])
     names = sorted(rows["lang"].unique())
     y = rows["lang"].map({n: i for i, n in enumerate(names)}).to_numpy()
     marks = np.flatnonzero(rows.groupby("lang").cumcount().to_numpy() < LANDMARKS)
