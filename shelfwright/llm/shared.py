@@ -35,6 +35,11 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, also inside a lambda."""
+    return F.transform(F.array(value), body)[0]
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that does not clash with those of ``df`` (names are compared without case)."""
     taken, name = {c.lower() for c in df.columns}, stem

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwright.llm.links import components
-from shelfwright.llm.shared import table, written
+from shelfwright.llm.shared import let, table, written
 
 COSINE = 0.9
 #: Rows that the tree's centres are taken from, at most: those with the smallest hashes. Every row is indexed.
@@ -22,10 +22,14 @@ def units(e: Column) -> Column:
     """The vector at length one, in double precision; null if it is null, empty, zero or has a null or non-finite component."""
     d = F.transform(e, lambda x: x.cast("double"))
     bad = F.exists(d, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    top = F.array_max(F.transform(d, lambda x: F.abs(x)))
-    scaled = F.transform(d, lambda x: x / top + 0.0)  # no overflow; -0 becomes 0
-    length = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda a, x: a + x * x))
-    return F.when(e.isNotNull() & ~F.coalesce(bad, F.lit(True)) & (top > 0), F.transform(scaled, lambda x: x / length))
+
+    def scaled(top: Column) -> Column:  # no overflow; -0 becomes 0
+        return F.when(top > 0, let(F.transform(d, lambda x: x / top + 0.0), unit))
+
+    def unit(v: Column) -> Column:
+        return let(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)), lambda n: F.transform(v, lambda x: x / n))
+
+    return F.when(e.isNotNull() & ~F.coalesce(bad, F.lit(True)), let(F.array_max(F.transform(d, lambda x: F.abs(x))), scaled))
 
 
 class CoverTree:
