@@ -5,7 +5,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -15,13 +14,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwright.llm.shared import table, written
+from shelfwright.llm.shared import let, table, written
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
-#: Parts of the rank map; a look-up reads one part of a few entries.
-PARTS = 16384
+#: Parts of the rank map; a look-up reads one part of a few entries. A pair of ids is one number.
+PARTS, WIDTH = 130003, 1 << 20
 #: Words of a chunk of documents with one dictionary; a longer document is a chunk of its own.
-CHUNK_WORDS = 2_000_000
+CHUNK_WORDS = 5_000_000
 NEVER = 2 ** 31 - 1
 
 
@@ -30,54 +29,74 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def pair_ranks(ranks: dict[bytes, int]) -> dict[int, int]:
+    """Rank of each token under both ids of every pair of tokens that it can be joined from."""
+    return {ranks[t[:i]] * WIDTH + ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
+
+
 def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """The ranks as a literal: an array of maps by hash. A byte is written as the character of the same number."""
-    parts: list[dict[str, int]] = [{} for _ in range(PARTS)]
-    for token, rank in ranks.items():
-        key = token.decode("latin-1")
-        parts[zlib.crc32(key.encode()) % PARTS][key] = rank
-    return F.from_json(F.lit(json.dumps(parts)), "array<map<string,int>>")
+    """The rank map as a literal: parts of (pairs, ranks), a pair being in the part of its remainder; and the ids of single bytes."""
+    keys: list[list[int]] = [[] for _ in range(PARTS)]
+    values: list[list[int]] = [[] for _ in range(PARTS)]
+    for key, rank in pair_ranks(ranks).items():
+        keys[key % PARTS].append(key)
+        values[key % PARTS].append(rank)
+    single = [ranks.get(bytes([b]), -1) for b in range(256)]
+    return F.from_json(F.lit(json.dumps({"keys": keys, "values": values, "bytes": single})), "keys array<array<bigint>>, values array<array<int>>, bytes array<int>")
+
+
+def fold(data: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same merges for one word in Python; only for the tokens of a vocabulary, see ``unreached``."""
+    p = [data[i:i + 1] for i in range(len(data))]
+    while len(p) > 1:
+        least, i = min((ranks.get(a + b, NEVER), i) for i, (a, b) in enumerate(zip(p, p[1:], strict=False)))
+        if least == NEVER:
+            break
+        p[i:i + 2] = [p[i] + p[i + 1]]
+    return [ranks[x] for x in p]
 
 
-def _let(value: Column, body) -> Column:
-    return F.transform(F.array(value), body)[0]
+def unreached(ranks: dict[bytes, int]) -> dict[bytes, int]:
+    """Tokens that merges do not lead to; a whole word that is a token has its id all the same."""
+    return {t: r for t, r in ranks.items() if fold(t, ranks) != [r]}
 
 
-def merged(word: Column, ranks: Column) -> Column:
+def merged(word: Column, ranks: Column, direct: dict[bytes, int] | None = None) -> Column:
     """Ids of one word: start from its bytes, and join the leftmost pair of least rank until no pair has a rank.
 
-    The state is an array of (piece, rank of the piece joined with the next one), so a step looks up two pairs only.
+    The state is the ids and the rank of each pair of neighbours, with -1 on both ends, so a step looks up two pairs only.
+    ``direct``: whole words with an id of their own.
     """
-    def rank(key: Column) -> Column:
-        part = F.element_at(ranks, F.pmod(F.crc32(key.cast("binary")), F.lit(PARTS)).cast("int") + 1)
-        return F.coalesce(F.try_element_at(part, key), F.lit(NEVER))
+    def with_map(m: Column) -> Column:
+        def rank(a: Column, b: Column) -> Column:
+            key = a.cast("long") * WIDTH + b
+            return let((key % PARTS).cast("int"), lambda h: F.coalesce(F.get(F.get(m["values"], h), F.array_position(F.get(m["keys"], h), key).cast("int") - 1), F.lit(NEVER)))
 
-    def item(piece: Column, r: Column) -> Column:
-        return F.struct(piece.alias("p"), r.alias("r"))
+        def state(ids: Column, pairs: Column) -> Column:
+            return let(pairs, lambda r: F.struct(ids.alias("p"), r.alias("r"), F.array_min(r).alias("least")))
 
-    def step(s: Column, _: Column) -> Column:
-        def join(at: Column) -> Column:
-            piece = F.concat(s[at - 1]["p"], s[at]["p"])
-            return _let(piece, lambda new: F.concat(
-                F.when(at > 1, F.concat(F.slice(s, F.lit(1), at - 2), F.array(item(s[at - 2]["p"], rank(F.concat(s[at - 2]["p"], new)))))).otherwise(F.slice(s, 1, 0)),
-                F.array(item(new, F.when(at + 1 < F.size(s), rank(F.concat(new, F.get(s, at + 1)["p"]))).otherwise(F.lit(NEVER)))),
-                F.slice(s, at + 2, F.size(s))))
+        def step(s: Column, _: Column) -> Column:
+            p, r, least = s["p"], s["r"], s["least"]
 
-        def merge_least(r: Column) -> Column:
-            return _let(F.array_min(r), lambda least: F.when(least == NEVER, s).otherwise(_let(F.array_position(r, least).cast("int"), join)))
+            def join(at: Column) -> Column:
+                return state(F.concat(F.slice(p, F.lit(1), at - 1), F.array(least), F.slice(p, at + 2, F.size(p))),
+                             F.concat(F.slice(r, F.lit(1), at - 2), F.array(rank(F.get(p, at - 2), least), rank(least, F.get(p, at + 1))), F.slice(r, at + 2, F.size(p))))
 
-        return _let(F.transform(s, lambda x: x["r"]), merge_least)
+            return F.when(least == NEVER, s).otherwise(let(F.array_position(r, least).cast("int"), join))
 
-    text = F.decode(word.cast("binary"), "ISO-8859-1")
+        def run(p: Column) -> Column:
+            start = state(p, F.transform(F.sequence(F.lit(0), F.size(p) - 2), lambda i: rank(F.get(p, i), F.get(p, i + 1))))
+            return F.aggregate(F.sequence(F.lit(2), F.octet_length(word)), start, step, lambda s: F.slice(s["p"], F.lit(2), F.size(s["p"]) - 2))
 
-    def fold(w: Column) -> Column:
-        size = F.length(w)
-        start = F.transform(F.sequence(F.lit(1), size), lambda i: item(F.substring(w, i, F.lit(1)), F.when(i < size, rank(F.substring(w, i, F.lit(2)))).otherwise(F.lit(NEVER))))
-        pieces = F.aggregate(F.sequence(F.lit(2), size), start, step)
-        whole = rank(w)
-        return F.when((whole < NEVER) | (size < 2), F.array(whole)).otherwise(F.transform(pieces, lambda x: rank(x["p"])))
+        end = F.array(F.lit(-1))
+        ids = F.transform(F.split(F.decode(word.cast("binary"), "ISO-8859-1"), ""), lambda c: F.get(m["bytes"], F.ascii(c)))
+        return F.when(F.octet_length(word) == 1, ids).otherwise(let(F.concat(end, ids, end), run))
 
-    return _let(text, fold)
+    out = let(ranks, with_map)
+    if direct:
+        known = F.from_json(F.lit(json.dumps({t.hex().upper(): r for t, r in direct.items()})), "map<string,int>")
+        out = F.coalesce(F.when(F.try_element_at(known, F.hex(word.cast("binary"))).isNotNull(), F.array(F.try_element_at(known, F.hex(word.cast("binary"))))), out)
+    return out
 
 
 def words_of(text: Column, pattern: str) -> Column:
@@ -88,7 +107,7 @@ def chunks(docs: DataFrame, pattern: str) -> DataFrame:
     """One row per chunk of documents: its distinct words, doc_ids, words of each document, and codes (places in the dictionary,
     compressed). Chunks are cut inside tasks; nothing is shuffled."""
     def job(batches):
-        n, task = 0, TaskContext.get().partitionId()
+        chunk = TaskContext.get().partitionId() << 24
         for batch in batches:
             words = batch.column("words")
             off = np.asarray(words.offsets)
@@ -98,14 +117,14 @@ def chunks(docs: DataFrame, pattern: str) -> DataFrame:
                 coded = words.values.slice(off[i], off[j] - off[i]).dictionary_encode()
                 codes = np.asarray(coded.indices).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([f"{task}-{n}"]), pa.array([coded.dictionary], pa.list_(pa.string())), pa.array([batch.column("doc_id").slice(i, j - i)], pa.list_(batch.schema.field("doc_id").type)),
+                    [pa.array([chunk]), pa.array([coded.dictionary], pa.list_(pa.string())), pa.array([batch.column("doc_id").slice(i, j - i)], pa.list_(batch.schema.field("doc_id").type)),
                      pa.array([np.diff(off[i:j + 1])], pa.list_(pa.int32())), pa.array([pa.compress(codes.tobytes(), "zstd", asbytes=True)])],
                     names=["chunk", "words", "doc_ids", "sizes", "codes"])
-                n, i = n + 1, j
+                chunk, i = chunk + 1, j
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     d = docs.select("doc_id", words_of(F.col("text"), pattern).alias("words"))
-    return d.mapInArrow(job, f"chunk string, words array<string>, doc_ids array<{kind}>, sizes array<int>, codes binary")
+    return d.mapInArrow(job, f"chunk long, words array<string>, doc_ids array<{kind}>, sizes array<int>, codes binary")
 
 
 def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, digests: bool = True) -> DataFrame:
@@ -122,7 +141,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
         pieces[rank] = token
     parts = written(chunks(docs, pattern), "bpe-chunks")
     vocabulary = parts.select(F.explode("words").alias("word")).distinct()
-    vocabulary = written(vocabulary.select("word", merged(F.col("word"), rank_literal(ranks)).alias("ids")), "bpe-words")
+    vocabulary = written(vocabulary.select("word", merged(F.col("word"), rank_literal(ranks), unreached(ranks)).alias("ids")), "bpe-words")
     places = parts.select(F.col("chunk").alias("of_chunk"), F.posexplode("words").alias("place", "word")).join(vocabulary, "word").select("of_chunk", "place", "ids")
     kind = docs.schema["doc_id"].dataType.simpleString()
     numbers = [str(i) for i in range(len(pieces))]
