@@ -22,8 +22,8 @@ BITS = 4
 LONGS = MINIMA * BITS // 64
 #: Least estimate of a candidate that is confirmed: five standard deviations below the threshold.
 LEAST_ESTIMATE = 0.75 - 5 * (0.75 * 0.25 / MINIMA) ** 0.5
-#: Members of a bucket that one task compares with the others of the bucket.
-BLOCK = 1024
+#: Shingles of a part of documents that one task compares with those of another part.
+PART_SHINGLES = 1 << 20
 
 
 def shingle_sets(flat: np.ndarray, off: np.ndarray, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -127,18 +127,45 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return p.where(100 * F.col("both") >= SIMILARITY * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b").distinct()
 
 
-def estimate(x: Column, y: Column) -> Column:
-    """Similarity from packed low bits: equal ones less those that agree by chance. Plain long arithmetic and bit counts."""
-    differ = F.lit(0)
+def estimate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Similarity of each row of ``x`` with each of ``y`` from packed low bits: equal ones less those that agree by chance."""
+    differ = np.zeros((len(x), len(y)), np.uint16)
     for k in range(LONGS):
-        v = x[k].bitwiseXOR(y[k])
-        v = v.bitwiseOR(F.shiftrightunsigned(v, 1))
-        v = v.bitwiseOR(F.shiftrightunsigned(v, 2))
-        differ = differ + F.bit_count(v.bitwiseAND(F.lit(0x1111111111111111)))
+        v = x[:, k, None] ^ y[None, :, k]
+        v |= v >> np.uint64(1)
+        v |= v >> np.uint64(2)
+        differ += np.bitwise_count(v & np.uint64(0x1111111111111111))
     chance = 1 / 2 ** BITS
     return ((1 - differ / MINIMA) - chance) / (1 - chance)
 
 
+def joining_links(node: np.ndarray, root: np.ndarray, side: np.ndarray, bits: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Confirmed links between rows of different groups, as many as it takes to join those groups that links join. Rows of side 0 and 1
+    are compared with each other, those of side 2 among themselves. Pairs inside a group are passed over."""
+    size = np.array([len(x) for x in sets], np.int64)
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1] if len(sets) else np.zeros(0, np.int64)
+    first = np.cumsum(size) - size
+    group = np.unique(root, return_inverse=True)[1]
+    flag, out = np.zeros(len(ids) + 1, np.int64), []
+    others = np.flatnonzero(side != 0)
+    for i in np.flatnonzero(side != 1):
+        b = others[(others > i) | (side[others] != 2)]
+        b = b[group[b] != group[i]]
+        b = b[estimate(bits[i:i + 1], bits[b])[0] >= LEAST_ESTIMATE]
+        if not len(b):
+            continue
+        own = ids[first[i]:first[i] + size[i]]
+        flag[own] = 1
+        at = np.repeat(first[b] - (np.cumsum(size[b]) - size[b]), size[b]) + np.arange(size[b].sum())
+        both = np.add.reduceat(flag[ids[at]], np.cumsum(size[b]) - size[b])
+        flag[own] = 0
+        for j in b[100 * both >= SIMILARITY * (size[i] + size[b] - both)]:
+            if group[j] != group[i]:
+                out.append((int(node[i]), int(node[j])))
+                group[group == group[j]] = group[i]
+    return out
+
+
 def _labelled(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs between different components, with their components (ca < cb)."""
     r = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"c{c}"))
@@ -154,9 +181,9 @@ def groups(docs: DataFrame) -> DataFrame:
     """(rid, doc_id, text_key, n_shingles, root) for every row of ``docs``; root is null for empty texts.
 
     1. Rows with equal sets are one node. 2. Every node meets one representative in each of its band buckets (never all pairs); the
-    representative it meets most often is confirmed on full sets, then one pair for each two groups that still meet. 3. Pairs of
-    a bucket in different groups whose packed bits promise the similarity are confirmed, first the best of each two groups, then
-    all that are left. A pair inside a group cannot change it and is never made. No bucket is capped.
+    representative it meets most often is confirmed on full sets, then one pair for each two groups that still meet. 3. Nodes
+    that buckets connect across groups are dealt out in parts; a task compares two parts by packed bits, confirms what promises the
+    similarity on full sets and gives only the links that join groups. No bucket is capped, and no table of pairs is made.
 
     Null texts are empty; texts of white space too. Null and repeated doc_ids are allowed, ties go to the smallest. Extra
     columns are ignored. No rows give no rows.
@@ -179,20 +206,27 @@ def groups(docs: DataFrame) -> DataFrame:
     links = written(links.union(confirmed(again.select("a", "b"), sets)), "near-links")
     roots = components(links)
 
-    member = shared.select("key", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    member = shared.select("key", "node", "head").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = member.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    member = member.join(mixed, "key", "left_semi").join(sigs.select("node", "bits"), "node")
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    left = member.select("key", F.col("node").alias("a"), F.col("root").alias("ca"), F.col("bits").alias("bits_a"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"))
-    right = member.select("key", F.col("node").alias("b"), F.col("root").alias("cb"), F.col("bits").alias("bits_b"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    found = left.join(right, ["key", "part"]).where((F.col("ca") < F.col("cb")) & (estimate(F.col("bits_a"), F.col("bits_b")) >= LEAST_ESTIMATE))
-    found = written(found.select("a", "b", estimate(F.col("bits_a"), F.col("bits_b")).alias("est")).distinct(), "near-found")
-    # Pairs that were confirmed or refused before cannot join groups that are still apart.
-    cross = _best(_labelled(found, roots), ["ca", "cb"], F.col("est").desc(), 1)
-    links = written(links.union(confirmed(cross.select("a", "b"), sets)), "near-links")
-    roots = components(links)
-    rest = _labelled(found, roots)
-    links = links.union(confirmed(rest.select("a", "b"), sets))
+    member = written(member.join(mixed, "key", "left_semi").select("node", "head", "root"), "near-mixed")
+    meeting = components(member.select(F.col("node").alias("a"), F.col("head").alias("b"))).select("node", F.col("root").alias("meeting"))
+    rest = member.select("node", "root").distinct().join(meeting, "node").join(sigs.select("node", "bits"), "node").join(sets, "node")
+    rest = written(rest, "near-meeting")
+    parts = rest.groupBy("meeting").agg(F.ceil(F.sum(F.size("shingles")) / PART_SHINGLES).cast("int").alias("parts"))
+    rest = rest.join(parts, "meeting").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    rest = rest.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    rest = rest.select("meeting", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "node", "root",
+                       F.when(F.col("part") == F.col("other"), 2).when(F.col("part") < F.col("other"), 0).otherwise(1).alias("side"), "bits", "shingles")
+
+    def meet(t: pa.Table) -> pa.Table:
+        column = lambda c: t.column(c).combine_chunks()
+        bits, sh = column("bits"), column("shingles")
+        off, values = np.asarray(sh.offsets), np.asarray(sh.values)
+        sets_ = [values[i:j] for i, j in zip(off[:-1], off[1:], strict=True)]
+        found = joining_links(column("node").to_numpy(), column("root").to_numpy(), column("side").to_numpy(), bits.flatten().to_numpy().reshape(-1, LONGS).view(np.uint64), sets_)
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    links = links.union(rest.groupBy("meeting", "p", "q").applyInArrow(meet, "a long, b long"))
     roots = written(components(links), "near-roots")
 
     of_set = nodes.join(roots, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("root"))

@@ -89,12 +89,20 @@ def test_near_duplicates_in_one_large_group(spark):
 def test_estimate_follows_similarity(spark):
     w = words(400, 3)
     rows = [(i, " ".join(changed(w, set(range(0, 400, 400 // k if k else 401))))) for i, k in enumerate((0, 5, 20, 60))]
-    d = {r.doc_id: r for r in near_dup.rows_of(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    p = spark.createDataFrame([(d[0].bits, d[i].bits, i) for i in d], "x array<long>, y array<long>, i int")
-    est = {r.i: r.e for r in p.select("i", near_dup.estimate(F.col("x"), F.col("y")).alias("e")).collect()}
+    d = {r.doc_id: np.array(r.bits).view(np.uint64) for r in near_dup.rows_of(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    est = near_dup.estimate(d[0][None], np.stack([d[i] for i in range(4)]))[0]
     assert est[0] == 1 and est[1] > est[2] > est[3] and abs(est[2] - 0.6) < 0.2
 
 
+def test_near_misses_in_parts(spark, monkeypatch):
+    """Many texts around the threshold, compared in several parts."""
+    w, r = words(150, 10), random.Random(6)
+    rows = [(i, " ".join(changed(w, set(r.sample(range(150), r.randint(2, 9)))))) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(near_dup, "PART_SHINGLES", 5000)
+    assert norm(near_dup.labelled(df).select("doc_id", "n_shingles", "component_id").collect()) == norm(jaccard_groups(rows))
+
+
 def test_components(spark):
     r = random.Random(4)
     edges = [(r.randint(0, 400), r.randint(0, 400)) for _ in range(250)] + [(i, i + 1) for i in range(1000, 1060)] + [(5000, x) for x in range(4000, 4100)] + [(7, 7)]
