@@ -9,7 +9,7 @@ from shelfwright.llm.shared import shared_folder, table, written
 
 MAGIC = "WARC/1.1\r\n"
 GAP = "\r\n\r\n"
-#: A record starts at the start of a file or behind this; payloads may hold it too.
+#: A record starts at the start of a file or behind this gap and magic; payloads may hold it too.
 BOUNDARY = GAP + MAGIC
 #: Equal payloads of at least so many bytes are stored once.
 REVISIT_BYTES = 100
@@ -56,20 +56,23 @@ def header(head: Column, name: str) -> Column:
 
 
 def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """What the reader cuts at every boundary, true or not: file, block, seq, body (bytes behind the magic), bytes.
+    """What the reader cuts at every magic, behind a gap or not: file, file_bytes (null where compressed), block, seq, body (bytes behind the magic), bytes.
 
-    Tasks split a file into ranges; a piece belongs to the range that it starts in, so pieces are ordered by (block, seq).
+    The reader loses a separator that begins like its own inside, as ``BOUNDARY`` does behind a CRLF at the edge of its buffer; no part
+    of ``MAGIC`` begins like the whole. Tasks split a file into ranges; a piece belongs to the range that it starts in, so pieces are
+    ordered by (block, seq). The first piece of a file lies before its first magic and is empty.
     """
-    raw = spark.read.option("lineSep", BOUNDARY).text(path)
-    return raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-                      F.monotonically_increasing_id().alias("seq"), F.col("value").cast("binary").alias("body"))
+    raw = spark.read.option("lineSep", MAGIC).text(path)
+    packed = F.col("_metadata.file_name").rlike(r"\.(gz|gzip|bz2|zst|zstd|lz4|snappy|deflate)$")
+    return raw.select(F.col("_metadata.file_path").alias("file"), F.when(~packed, F.col("_metadata.file_size")).alias("file_bytes"),
+                      F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq"), F.col("value").cast("binary").alias("body"))
 
 
 RECORD = ("record_type", "page_id", "refers_to", "url", "stated_digest", "stated_bytes", "payload_digest", "payload_bytes")
 
 
 def fields(body: Column) -> list[Column]:
-    """Header fields of a record that ``body`` starts with (with or without its magic)."""
+    """Header fields of a record that ``body`` starts with."""
     head = F.substring_index(body.cast("string"), GAP, 1)
     ident = lambda name: F.regexp_extract(header(head, name), r"<urn:page:(-?\d+)>", 1).try_cast("long")
     return [F.octet_length(head).alias("head_bytes"), header(head, "Content-Length").try_cast("long").alias("length"), header(head, "WARC-Type").alias("record_type"),
@@ -78,30 +81,30 @@ def fields(body: Column) -> list[Column]:
 
 
 def offsets(pieces: DataFrame) -> DataFrame:
-    """Candidate offsets, the successor that each candidate's Content-Length claims, and the record it would be if it held
-    no other candidate: small rows without payloads."""
-    slim = pieces.select("file", "block", "seq", F.octet_length("body").cast("long").alias("bytes"), *fields(F.col("body")), "body")
+    """Candidate offsets (behind the magic; 0 is what lies before the first), the successor that each candidate's Content-Length claims,
+    whether a gap lies before the magic, and the record it would be if it held no other candidate: small rows without payloads."""
+    slim = pieces.select("file", "file_bytes", "block", "seq", F.octet_length("body").cast("long").alias("bytes"), (F.expr(f"right(body, {len(GAP)})") == F.lit(GAP).cast("binary")).alias("closed"), *fields(F.col("body")), "body")
     payload = F.expr("substring(body, head_bytes + 5, int(length))")
     slim = slim.withColumns({"payload_digest": F.sha2(payload, 256), "payload_bytes": F.octet_length(payload).cast("long")}).drop("body")
-    blocks = slim.groupBy("file", "block").agg(F.sum(F.col("bytes") + len(BOUNDARY)).alias("block_bytes"))
-    ahead = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("file", "block", F.coalesce(F.sum("block_bytes").over(ahead), F.lit(0)).alias("base"), (F.row_number().over(Window.partitionBy("file").orderBy("block")) == 1).alias("first_block"))
-    inside = Window.partitionBy("file", "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    slim = slim.withColumn("rank", F.row_number().over(Window.partitionBy("file", "block").orderBy("seq")))
-    slim = slim.withColumn("inner", F.coalesce(F.sum(F.col("bytes") + len(BOUNDARY)).over(inside), F.lit(0))).join(blocks, ["file", "block"])
-    first = F.col("first_block") & (F.col("rank") == 1)
-    # Offsets count from the first byte behind the first magic; the first piece still holds that magic.
+    blocks = slim.groupBy("file", "block").agg(F.sum(F.col("bytes") + len(MAGIC)).alias("block_bytes"), F.max_by("closed", "seq").alias("block_closed"))
+    by_block = Window.partitionBy("file").orderBy("block")
+    ahead = by_block.rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("file", "block", F.coalesce(F.sum("block_bytes").over(ahead), F.lit(0)).alias("base"), F.lag("block_closed").over(by_block).alias("closed_before"))
+    by_seq = Window.partitionBy("file", "block").orderBy("seq")
+    inside = by_seq.rowsBetween(Window.unboundedPreceding, -1)
+    slim = slim.withColumn("before", F.lag("closed").over(by_seq))
+    slim = slim.withColumn("inner", F.coalesce(F.sum(F.col("bytes") + len(MAGIC)).over(inside), F.lit(0))).join(blocks, ["file", "block"])
     off = F.col("base") + F.col("inner")
-    start = F.when(first, F.lit(0)).otherwise(off - len(MAGIC))
-    head_bytes = F.when(first, F.col("head_bytes") - len(MAGIC)).otherwise(F.col("head_bytes"))
-    return slim.select("file", "block", "seq", start.alias("off"), (start + head_bytes + len(GAP) + F.col("length") + len(BOUNDARY)).alias("next"), *RECORD)
+    return slim.select("file", "file_bytes", "block", "seq", off.alias("off"), "bytes", F.coalesce("before", "closed_before", F.lit(False)).alias("gap"),
+                       (off + F.col("head_bytes") + len(GAP) + F.col("length") + len(BOUNDARY)).alias("next"), *RECORD)
 
 
 def reachable(spark: SparkSession, cand: DataFrame) -> DataFrame:
-    """Pointer jumping: (file, off) of candidates on the chain from offset 0. Round k knows the first 2^k records of every file
-    and pointers over 2^k records; it ends when the known records stop growing."""
-    jump = cand.select("file", "off", F.col("next"))
-    known = cand.where("off = 0").select("file", "off")
+    """Pointer jumping: (file, off) of candidates on the chain from the magic that a file starts with. Round k knows the first 2^k records of
+    every file and pointers over 2^k records; it ends when the known records stop growing."""
+    start = f"off = {len(MAGIC)}"
+    jump = cand.where(f"gap OR {start}").select("file", "off", F.col("next"))
+    known = cand.where(start).select("file", "off")
     step = written(jump, "warc-jump")
     n, last = written(known, "warc-known"), -1
     while (size := n.count()) != last:
@@ -113,17 +116,29 @@ def reachable(spark: SparkSession, cand: DataFrame) -> DataFrame:
     return n
 
 
+def unfinished(cand: DataFrame, real: DataFrame) -> DataFrame:
+    """(file, read_bytes, ends_at, file_bytes) of files whose chain does not end exactly at their end, where ``ends_at`` is the end that the last record
+    of the chain claims, or whose pieces are not all of their bytes. The gap behind the last record of a file may be missing."""
+    size = cand.groupBy("file").agg((F.sum(F.col("bytes") + len(MAGIC)) - len(MAGIC)).alias("read_bytes"), F.max("file_bytes").alias("file_bytes"))
+    end = cand.join(real, ["file", "off"], "left_semi").groupBy("file").agg((F.max_by(F.struct("next"), "off")["next"] - len(MAGIC)).alias("ends_at"))
+    ok = F.col("ends_at").isin(F.col("read_bytes"), F.col("read_bytes") + len(GAP)) & F.coalesce(F.col("file_bytes") == F.col("read_bytes"), F.lit(True))
+    return size.join(end, "file", "left").where(~F.coalesce(ok, F.lit(False))).select("file", "read_bytes", "ends_at", "file_bytes")
+
+
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """Records of all archives below ``path``: record_type, page_id, refers_to, url, stated and measured digest and length, and
     with ``payloads`` the payload.
 
-    Pieces that the chain does not reach are magic inside a payload; they are put back into the record before them. A
-    record whose header cannot be read ends the chain of its file. Nothing in a payload can add a record. Only
+    Pieces that the chain does not reach are magic inside a payload; they are put back into the record before them. A file whose
+    chain does not end exactly at its end (a header that cannot be read, a wrong length) raises. Nothing in a payload can add a record. Only
     records of several pieces, and payloads that are asked for, are shuffled; all else is measured where it is read.
     """
     pieces = written(candidates(spark, path), "warc-pieces")
     cand = written(offsets(pieces), "warc-candidates")
-    real = reachable(spark, cand).withColumn("real", F.lit(True))
+    known = reachable(spark, cand)
+    if bad := unfinished(cand, known).orderBy("file").limit(5).collect():
+        raise ValueError(f"archives not read to their end: {'; '.join(map(str, bad))}")
+    real = known.withColumn("real", F.lit(True))
     upto = Window.partitionBy("file").orderBy("off").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     owner = (cand.join(real, ["file", "off"], "left").withColumn("owner", F.last(F.when(F.col("real"), F.col("off")), ignorenulls=True).over(upto))
              .withColumn("parts", F.count("*").over(Window.partitionBy("file", "owner"))).where("owner IS NOT NULL"))
@@ -131,9 +146,8 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     wanted = owner.select("file", "block", "seq", "off", "owner", "parts")
     wanted = wanted if payloads else written(wanted.where("parts > 1"), "warc-split")
     full = pieces.join(wanted, ["file", "block", "seq"])
-    full = full.withColumn("body", F.when(F.col("off") == 0, F.expr(f"substring(body, {len(MAGIC) + 1})")).otherwise(F.col("body")))
     many = (full.where("parts > 1").groupBy("file", "owner").agg(F.array_sort(F.collect_list(F.struct("off", "body"))).alias("p"))
-            .select(F.aggregate(F.expr("slice(p, 2, size(p))"), F.col("p")[0]["body"], lambda a, x: F.concat(a, F.lit(BOUNDARY).cast("binary"), x["body"])).alias("body")))
+            .select(F.aggregate(F.expr("slice(p, 2, size(p))"), F.col("p")[0]["body"], lambda a, x: F.concat(a, F.lit(MAGIC).cast("binary"), x["body"])).alias("body")))
     whole = full.where("parts = 1").select("body").union(many) if payloads else many
     out = whole.select(*fields(F.col("body")), "body").withColumn("payload", F.expr("substring(body, head_bytes + 5, int(length))"))
     out = out.withColumns({"payload_digest": F.sha2("payload", 256), "payload_bytes": F.octet_length("payload").cast("long")})

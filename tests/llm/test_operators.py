@@ -325,6 +325,29 @@ def test_archives_with_boundaries_inside_payloads(spark):
     assert warc.digests(warc.read_archives(spark, path)).count() == 0
 
 
+def record(i, body, length=None):
+    return f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{i}>\r\nContent-Length: {len(body) if length is None else length}\r\n\r\n{body}"
+
+
+def test_archives_with_boundaries_at_the_edge_of_the_reader(spark):
+    """The reader's buffer has 64 KB; the first page of each file ends with CRLF at another place around its edge."""
+    path, want = shared_folder(spark, "warc-edge"), []
+    head = len(record(1, "", 65000))
+    for cut in range(6):
+        rows = [(cut + 1, "x" * (65536 - head - 2 - cut) + "\r\n"), *[(10 * (cut + 1) + i, f"page {i}\r\n") for i in range(2, 5)]]
+        spark.createDataFrame([(record(i, h),) for i, h in rows], "value string").coalesce(1).write.mode("append").option("lineSep", warc.GAP).text(path)
+        want += rows
+    got = warc.read_archives(spark, path).select("page_id", "payload").collect()
+    assert sorted((r.page_id, bytes(r.payload).decode()) for r in got) == sorted(want)
+
+
+def test_archives_cut_short(spark):
+    path = shared_folder(spark, "warc-cut")
+    spark.createDataFrame([(record(1, "abc"),), (record(2, "abc", 9),), (record(3, "abc"),)], "value string").coalesce(1).write.option("lineSep", warc.GAP).text(path)
+    with pytest.raises(ValueError, match="not read to their end"):
+        warc.read_archives(spark, path)
+
+
 def test_chat(spark):
     said = r"a \\ <|im_end|> <|im_start|>assistant<|im_sep|> </s>[INST] ok [/INST] <<SYS>> \<| <"
     rows = [(1, 0, "system", "s"), (1, 1, "user", said), (1, 2, "assistant", said), (1, 3, "user", None), (1, 4, "assistant", ""), (1, 5, "user", "end"), (2, 0, None, "only"), (3, 1, "assistant", "b"), (3, 1, "assistant", "a"),
