@@ -17,7 +17,7 @@ LENGTH = 200
 #: Every repeated string of LENGTH bytes holds, at the same place in all its copies, one anchor of this length.
 ANCHOR = 50
 SLACK = LENGTH - ANCHOR
-#: Suffixes that one task merges, about; and bytes of suffixes in a run that a task sorts.
+#: Suffixes that one task merges, about, and of one anchor, at most; and bytes of suffixes in a run that a task sorts.
 MERGE_ROWS = 50_000
 RUN_BYTES = 48 << 20
 
@@ -264,28 +264,74 @@ def merge(table_: pa.Table) -> pa.Table:
     return pa.table({"rid": rid[hit], "start": place[hit] - high, "stop": place[hit] - low + LENGTH})
 
 
+def wide_reach(texts: DataFrame) -> DataFrame:
+    """(rid, start, stop) as ``merge`` gives them, of anchors that too many suffixes start with for one task. ``texts`` has rid, text and the
+    places of such anchors (wide).
+
+    Suffixes with the same bytes on both sides are one context with a count. The strings of LENGTH bytes around a context's anchor are
+    counted by (bytes before the anchor, digest of the string), so neither an anchor nor a string is a task's own.
+    """
+    def job(batches):
+        out: list[tuple[int, int, bytes, bytes, int]] = []
+        names = ["rid", "place", "context", "around", "n_left"]
+
+        def batch_of():
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32())
+            made = pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+            out.clear()
+            return made
+
+        for batch in batches:
+            for b, flat, off in slices(batch, "text"):
+                data = flat.tobytes()
+                for k in range(len(b)):
+                    rid, begin, end = b.column("rid")[k].as_py(), int(off[k]), int(off[k + 1])
+                    for place in np.asarray(b.column("wide")[k].values).tolist():
+                        a = begin + place
+                        n = min(place, SLACK)
+                        around = data[a - n:min(end, a + LENGTH)]
+                        out.append((rid, place, hashlib.blake2b(bytes([n]) + around, digest_size=16).digest(), around, n))
+                        if len(out) >= 10_000:
+                            yield batch_of()
+        if out:
+            yield batch_of()
+
+    rows = written(texts.select("rid", "text", "wide").mapInArrow(job, "rid long, place long, context binary, around binary, n_left int"), "sub-wide")
+    contexts = written(rows.groupBy("context", "around", "n_left").agg(F.count("*").alias("n")), "sub-contexts")
+    least = F.greatest(F.lit(0), LENGTH - (F.octet_length("around") - F.col("n_left")))
+    windows = (contexts.select("context", "around", "n_left", "n", F.explode(F.when(least <= F.col("n_left"), F.sequence(least, F.col("n_left")))).alias("x"))
+               .select("context", "n", "x", F.unhex(F.md5(F.expr(f"substring(around, n_left - x + 1, {LENGTH})"))).alias("string")))
+    repeated = windows.groupBy("x", "string").agg(F.sum("n").alias("n")).where("n > 1").select("x", "string")
+    reach = windows.select("context", "x", "string").join(repeated, ["x", "string"], "left_semi").groupBy("context").agg(F.min("x").alias("low"), F.max("x").alias("high"))
+    return rows.select("rid", "place", "context").join(reach, "context").select("rid", (F.col("place") - F.col("high")).alias("start"), (F.col("place") - F.col("low") + LENGTH).alias("stop"))
+
+
 def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, texts): a row per document with rid, doc_id, text_key, n_bytes and ``copies`` of its text; and (rid, text, spans) of the
     texts, one of each, with ``spans`` of bytes to remove (start, stop), in order and apart.
 
     1. Each text is cut at anchors; only texts of one row of each group of copies are looked at further. 2. Anchors whose hash occurs
     more than once are suffix starts. 3. Tasks sort suffixes into front-coded runs; parts merge their runs with a loser tree.
-    4. Neighbours in suffix order, split by the bytes to the left, are the strings of LENGTH bytes that occur twice.
+    4. Neighbours in suffix order, split by the bytes to the left, are the strings of LENGTH bytes that occur twice. Anchors of more than
+    MERGE_ROWS suffixes are left out of 3 and 4, see ``wide_reach``.
     """
     rows = written(rows_of(docs), "sub-rows")
     groups = rows.groupBy("text_key").agg(F.min("rid").alias("rid"), F.count("*").alias("copies"))
     first = written(groups, "sub-texts")
     at = (rows.join(first.select("rid"), "rid", "left_semi").select("rid", F.explode(F.arrays_zip("places", "hashes")).alias("a"))
           .select("rid", F.col("a.places").alias("place"), F.col("a.hashes").alias("hash")))
-    twice = at.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    kept = at.join(twice, "hash").groupBy("rid").agg(F.collect_list(F.struct("place", "hash")).alias("a"))
-    kept = written(kept.select("rid", F.transform("a", lambda x: x["place"]).alias("places"), F.transform("a", lambda x: x["hash"]).alias("hashes")), "sub-anchors")
+    twice = at.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash", (F.col("n") > MERGE_ROWS).alias("wide"))
+    kept = at.join(twice, "hash").groupBy("rid").agg(F.collect_list(F.struct("place", "hash", "wide")).alias("a"))
+    few, many = F.filter("a", lambda x: ~x["wide"]), F.filter("a", lambda x: x["wide"])
+    kept = written(kept.select("rid", F.transform(few, lambda x: x["place"]).alias("places"), F.transform(few, lambda x: x["hash"]).alias("hashes"), F.transform(many, lambda x: x["place"]).alias("wide")), "sub-anchors")
     wanted = rows.select("rid", F.col("doc_id").alias("want_id"), F.col("text_key").alias("want_key")).join(kept, "rid")
     d = docs.select("doc_id", "text").withColumn("text_key", F.sha2(F.coalesce("text", F.lit("")), 256))
-    texts = d.join(wanted, F.col("doc_id").eqNullSafe(F.col("want_id")) & (F.col("text_key") == F.col("want_key"))).select("rid", "text", "places", "hashes")
+    texts = d.join(wanted, F.col("doc_id").eqNullSafe(F.col("want_id")) & (F.col("text_key") == F.col("want_key"))).select("rid", "text", "places", "hashes", "wide")
     texts = written(texts, "sub-wanted")
-    total = kept.agg(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0]
-    found = runs_of(texts, max(1, total // MERGE_ROWS)).groupBy("part").applyInArrow(merge, "rid long, start long, stop long")
+    total, wide = kept.agg(*[F.coalesce(F.sum(F.size(x)), F.lit(0)) for x in ("places", "wide")]).first()
+    found = runs_of(texts.drop("wide"), max(1, total // MERGE_ROWS)).groupBy("part").applyInArrow(merge, "rid long, start long, stop long")
+    if wide:
+        found = found.unionByName(wide_reach(texts.where(F.size("wide") > 0)))
     one = F.expr("CAST(array() AS array<struct<start:bigint,stop:bigint>>)")
 
     def add(acc, s):

@@ -145,6 +145,28 @@ def test_substrings(spark):
     assert substrings.removed(df.limit(0)).count() == 0
 
 
+def test_substrings_of_a_hot_passage_span_tasks(spark, monkeypatch):
+    r = random.Random(2)
+    rnd = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    p, q = rnd(330), rnd(230)
+    texts = [rnd(r.randint(20, 90)) + p + rnd(r.randint(20, 90)) for _ in range(40)] + [rnd(60) + q + rnd(30), q, p[20:], p[:250], p[60:255], "a" * 900, rnd(9) + "a" * 500 + p, "ab" * 200, rnd(300)]
+    count = collections.Counter(t[k:k + 200] for t in texts for k in range(len(t) - 199))
+    want = []
+    for i, t in enumerate(texts):
+        hit = {m for k in range(len(t) - 199) if count[t[k:k + 200]] > 1 for m in range(k, k + 200)}
+        want.append((i, len(hit), hashlib.sha256("".join(c for k, c in enumerate(t) if k not in hit).encode()).hexdigest()))
+    merge = substrings.merge
+
+    def bounded(table_):
+        assert sum(len(substrings._unpacked(x.as_py())[3]) for x in table_.column("run")) <= 30, "one task holds a hot anchor"
+        return merge(table_)
+
+    monkeypatch.setattr(substrings, "MERGE_ROWS", 5)
+    monkeypatch.setattr(substrings, "merge", bounded)
+    got = substrings.removed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert norm(got.select("doc_id", "n_removed", "kept_sha256").collect()) == norm(want)
+
+
 def test_loser_tree_merges_and_keeps_prefixes():
     r = random.Random(8)
     runs = [sorted(bytes(r.choice(b"ab\0") for _ in range(r.randint(0, 12))) for _ in range(r.randint(0, 60))) for _ in range(7)]
