@@ -14,9 +14,9 @@ from shelfwright.llm.shared import free_name, written
 
 
 def without_secrets(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every found secret becomes ``[secret]``; n_chars follows the text. No document is dropped."""
+    """Every found secret, a private key with its whole body, becomes ``[secret]``; n_chars follows the text. No document is dropped."""
     name = free_name(docs, "found")
-    found, _ = secrets.find(docs, name=name)
+    found, _ = secrets.find(docs, rules=secrets.REDACTED, name=name)
     hit = F.size(name) > 0
     text = F.when(hit, secrets.redacted(F.col("text"), F.col(name))).otherwise(F.col("text"))
     return with_text(found, docs, text, hit)

@@ -17,6 +17,12 @@ RULES = {
     "pem": (1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
 }
 BASE = ("assign", "access", "hex")
+#: A whole private key: from BEGIN through the END line of the same name, or where that is missing through all lines of base64 (and headers)
+#: and runs of 16 base64 characters that follow. Line ends may be escaped. Possessive, so a long text costs one pass and no stack.
+KEY_BLOCK = (r"-----BEGIN ([A-Z0-9 ]*)PRIVATE KEY((?: BLOCK)?)-----(?:(?:[^-]++|-(?!----))*+-----END \1PRIVATE KEY\2-----"
+             r"|(?:(?:\s|\\[nr])*+(?:[A-Za-z0-9+/=]{16,}+|(?<=[\r\n]|\\[nr])[A-Za-z0-9+/=]++(?=[\x20\t]*(?:[\r\n]|\\[nr]|\z))|(?<=[\r\n]|\\[nr])[A-Za-z][A-Za-z0-9-]*+:\x20[^\r\n\\]*+))*+)")
+#: What redaction needs. RULES, whose patterns are those of the query's SQL, ends a key at its first line.
+REDACTED = {**RULES, "pem": (2, KEY_BLOCK, 0, 1)}
 SALTS = 16
 
 
