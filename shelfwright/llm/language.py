@@ -16,8 +16,8 @@ LENGTHS = (1, 2, 3, 4)
 HASH_BITS = 15
 #: Labelled rows of each language that the model is fitted on, at most, and how many of them are landmarks.
 PER_LANGUAGE, LANDMARKS = 600, 48
-#: Languages that a model tells apart, at most: the most frequent ones of the labelled rows.
-MOST_LANGUAGES = 128
+#: Rows and landmarks of all languages together: with many languages each has fewer, but at least one row.
+MOST_ROWS, MOST_LANDMARKS = 128 * PER_LANGUAGE, 128 * LANDMARKS
 RIDGE = 1e-3
 FOLD = 2  # crc32(doc_id) mod 4 of the rows that are never learned from
 ROWS = 128  # rows of a matrix product
@@ -52,9 +52,10 @@ class Kernel:
     def __init__(self, bits: np.ndarray, y: np.ndarray, names: list[str], landmarks: np.ndarray, ridge: float = RIDGE):
         self.names, self.landmarks, self.weights = names, bits[landmarks], None
         k = np.concatenate([self.shares(unpacked(bits[i:i + ROWS])) for i in range(0, len(bits), ROWS)]).astype(np.float64)
-        target = np.where(y[:, None] == np.arange(len(names)), 1.0, 0.0)
+        order = np.argsort(y, kind="stable")
+        per_name = np.add.reduceat(k[order], np.searchsorted(y[order], np.arange(len(names)))).T
         among = k[landmarks]
-        self.weights = np.linalg.lstsq(k.T @ k + ridge * len(bits) * among + 1e-9 * np.eye(len(among)), k.T @ target, rcond=None)[0]
+        self.weights = np.linalg.lstsq(k.T @ k + ridge * len(bits) * among + 1e-9 * np.eye(len(among)), per_name, rcond=None)[0]
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "matrix"}
@@ -71,12 +72,12 @@ class Kernel:
 
 def fit(docs: DataFrame, fold: int = FOLD, per_language: int = PER_LANGUAGE) -> Kernel | None:
     """Fit on text and lang of rows that are not held out: of every language the ``per_language`` ones with the smallest
-    hashes, a bounded sample. Rows without a letter or lang are left out; without any there is no model."""
+    hashes, a bounded sample; fewer where all languages together would have more than MOST_ROWS. No language is left out. Rows without a letter or lang are left out; without any there is no model."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)), F.lit(-1)) != fold))
     order = [F.xxhash64("doc_id", F.lit(3)), F.col("doc_id"), F.xxhash64("text")]
     slim = known.select("doc_id", "lang", F.xxhash64("text").alias("text_key"), order[0].alias("h"))
-    langs = slim.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
-    slim = slim.join(F.broadcast(langs.select("lang")), "lang")
+    n_languages = max(1, slim.select("lang").distinct().count())
+    per_language = min(per_language, max(1, MOST_ROWS // n_languages))
     part = Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h", "doc_id", "text_key")
     slim = slim.withColumn("k", F.row_number().over(part)).where(F.col("k") <= per_language)
     slim = slim.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text_key"))).where(F.col("k") <= per_language)
@@ -98,7 +99,9 @@ def fit(docs: DataFrame, fold: int = FOLD, per_language: int = PER_LANGUAGE) ->
     x = np.stack([np.frombuffer(b, np.uint8) for b in rows["bits"]])
     names = sorted(rows["lang"].unique())
     y = rows["lang"].map({n: i for i, n in enumerate(names)}).to_numpy()
-    marks = np.flatnonzero(rows.groupby("lang").cumcount().to_numpy() < LANDMARKS)
+    marks = np.flatnonzero(rows.groupby("lang").cumcount().to_numpy() < min(LANDMARKS, max(1, MOST_LANDMARKS // len(names))))
+    if len(marks) > MOST_LANDMARKS:
+        marks = marks[np.linspace(0, len(marks) - 1, MOST_LANDMARKS).astype(np.int64)]
     return Kernel(x, y, names, marks)
 
 

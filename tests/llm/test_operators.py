@@ -419,3 +419,10 @@ def test_language(spark):
     assert np.mean([a == b for a, b in held]) > 0.97 and all(0 <= r.score <= 1 for r in rows.values())
     assert language.fit(docs.limit(0)) is None
     assert {r.lang_pred for r in language.identify(odd, None).collect()} == {"und"}
+
+
+def test_language_learns_every_label(spark):
+    rows = [(10 * i + k, " ".join(words(60, 1000 * i)[k:]), f"l{i:03}") for i in range(140) for k in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs, fold=-1)
+    assert {r.lang_pred for r in language.identify(docs, model).collect()} == {lang for _, _, lang in rows}
