@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwright.functions.location import price_in_text
@@ -27,6 +27,14 @@ def price_lines(classified: DataFrame, plan: DataFrame, tolerance: float = 5.0)
         F.when(det.isNull(), "not_observable").when(F.abs(var) <= tolerance, "compliant").otherwise("non_compliant").alias("status"))
 
 
+def price_exceptions(lines: DataFrame, first: int = 20) -> DataFrame:
+    """The first price lines of a scan, whatever their status, as the report lists them."""
+    rn = F.row_number().over(Window.partitionBy("scan_id").orderBy("pos"))
+    label = F.substring(F.trim(F.concat(F.coalesce("brand", F.lit("")), F.lit(" "), F.coalesce("product_name", F.lit("")))), 1, 32)
+    return lines.withColumn("line_no", rn).where(F.col("line_no") <= first).select(
+        "scan_id", "line_no", label.alias("product"), "expected_price_inr", "detected_price_inr", "variance_inr", "status")
+
+
 def price_summary(lines: DataFrame) -> DataFrame:
     agg = lines.groupBy("scan_id").agg(
         F.count_if(F.col("status") != "not_observable").alias("checked_tags"),

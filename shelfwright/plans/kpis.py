@@ -142,6 +142,12 @@ def j10b(d):
     return MO.price_summary(_price_lines(d))
 
 
+@query("g68_price_exceptions", """SELECT scan_id, line_no, substr(trim(coalesce(brand, '') || ' ' || coalesce(product_name, '')), 1, 32) AS product, expected_price_inr, detected_price_inr, variance_inr, status
+    FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY pos) AS line_no FROM price_s) WHERE line_no <= 20""", OWN)
+def g68_price(d):
+    return MO.price_exceptions(_price_lines(d))
+
+
 @query("g18_price", CALC.format(units="price_u"), OWN)
 def g18(d):
     return Q.kpi_from_units(Q.price_units(_price_lines(d)))

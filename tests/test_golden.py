@@ -125,3 +125,13 @@ def test_missing_columns_are_named(spark, tmp_path):
         assert "category" in str(exc) and "expected_facings" in str(exc)
     else:
         raise AssertionError("a file without required columns was accepted")
+
+
+def test_price_exceptions_are_the_first_twenty_lines(spark):
+    from shelfwright.operators import money as MO
+
+    status = lambda i: ("compliant", "non_compliant", "not_observable")[i % 3]
+    lines = spark.createDataFrame([(s, i, "Brand", "p" * 40 if i == 1 else None, 10.0, 11.0, 1.0, status(i)) for s, n in ((1, 25), (2, 3)) for i in range(n)],
+                                  "scan_id int, pos int, brand string, product_name string, expected_price_inr double, detected_price_inr double, variance_inr double, status string")
+    got = sorted((r.scan_id, r.line_no, r.product, r.status) for r in MO.price_exceptions(lines).collect())
+    assert got == [(s, i + 1, "Brand " + "p" * 26 if i == 1 else "Brand", status(i)) for s, n in ((1, 20), (2, 3)) for i in range(n)]
