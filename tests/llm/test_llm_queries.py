@@ -35,7 +35,7 @@ def test_pipeline_stages(spark):
     import tiktoken
 
     from shelfwright.llm import bpe, mixture, quality, secrets
-    from test_operators import jaccard_groups  # noqa: I001
+    from test_llm_operators import jaccard_groups  # noqa: I001
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     one = corpus_pipeline.STAGES[0][1](spark, docs, SF)
