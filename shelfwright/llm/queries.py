@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shelfwright.llm import bpe, chat, exact_dedup, language, mixture, near_dup, quality, secrets, substrings, vector_links, warc
+from shelfwright.llm import bpe, chat, exact_dedup, language, merkle, mixture, near_dup, quality, secrets, substrings, vector_links, warc
 
 QUERIES = {
     "op1_chat_prefix_targets": chat.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_secret_blob_ledger": secrets.op8,
     "op9_quality_decision_list": quality.op9,
     "op10_cover_tree_links": vector_links.op10,
+    "op11_postorder_manifest": merkle.op11,
     "op13_salted_exact_dedup": exact_dedup.op13,
 }
 SQL = {
@@ -24,5 +25,6 @@ SQL = {
     "op5_bbit_minhash": near_dup.OP5_SQL,
     "op8_secret_blob_ledger": secrets.OP8_SQL,
     "op10_cover_tree_links": vector_links.OP10_SQL,
+    "op11_postorder_manifest": merkle.OP11_SQL,
     "op13_salted_exact_dedup": exact_dedup.OP13_SQL,
 }
