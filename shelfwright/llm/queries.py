@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shelfwright.llm import bpe, chat, exact_dedup, language, merkle, mixture, near_dup, quality, secrets, substrings, vector_links, warc
+from shelfwright.llm import bpe, chat, exact_dedup, language, merkle, mixture, near_dup, quality, secrets, substrings, vector_links, warc, whitening
 
 QUERIES = {
     "op1_chat_prefix_targets": chat.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quality_decision_list": quality.op9,
     "op10_cover_tree_links": vector_links.op10,
     "op11_postorder_manifest": merkle.op11,
+    "op12_refined_whitening": whitening.op12,
     "op13_salted_exact_dedup": exact_dedup.op13,
 }
 SQL = {

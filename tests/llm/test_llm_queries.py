@@ -22,7 +22,7 @@ def test_query_agrees_with_sql(spark, name):
     assert rows_of(df.columns, df.collect()) == rows_of([d[0] for d in cur.description], cur.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - {"op12_refined_whitening"}))  # op12: test_whitening.py
 def test_query_returns_every_document(spark, name):
     ids = [r.doc_id for r in QUERIES[name](spark, SF).collect()]
     assert sorted(ids) == sorted(r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect())
