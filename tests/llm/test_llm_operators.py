@@ -283,12 +283,28 @@ def test_bpe_agrees_with_the_library(docs, spark):
     for r in d.collect():
         ids = enc.encode_ordinary(r.text or "")
         want.append((r.doc_id, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest()))
-    assert norm(bpe.encode(d).collect()) == norm(want)
-    ids = {r.doc_id: r.ids for r in bpe.encode(d, digests=False).collect()}
-    assert ids[99] == enc.encode_ordinary(odd)
+    assert norm(bpe.digests(bpe.encode(d)).collect()) == norm(want)
+    ids = {r.doc_id: (r.ids, r.text) for r in bpe.stage(spark, d, SF).collect()}
+    assert ids[99] == (enc.encode_ordinary(odd), odd) and ids[6] == ([], "")
     assert bpe.encode(d.limit(0)).count() == 0
 
 
+def test_bpe_of_long_words(spark, monkeypatch):
+    """Words around the block limits and of many thousand letters, with few words known beforehand."""
+    import public_tokenizers as tok
+    import tiktoken
+
+    monkeypatch.setattr(bpe, "HEAD", 40)
+    monkeypatch.setattr(bpe, "CHUNK_WORDS", 50)
+    enc = tiktoken.Encoding("own", pat_str=tok.PATTERN, mergeable_ranks=bpe.read_ranks(tok.path(bpe.RANK_FILE)), special_tokens={})
+    r = random.Random(12)
+    texts = ["information" * 600, "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(2500)), " " * 9_000 + "x", "a" * 3333, "語" * 700 + "文字" * 500]
+    texts += ["".join(r.choice("etaoinshr") for _ in range(n)) for n in (61, 62, 63, 64, 65, 510, 511, 512, 513, 514, 1023, 1024, 1025, 1026, 2047, 2050)]
+    texts += [" ".join(r.choice("the of and to".split()) + str(r.randint(0, 9)) for _ in range(300)) for _ in range(20)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {x.doc_id: x.ids for x in bpe.encode(d).collect()} == {i: enc.encode_ordinary(t) for i, t in enumerate(texts)}
+
+
 def test_vector_links(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(6, 16))
