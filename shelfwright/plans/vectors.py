@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -183,14 +185,53 @@ def r19(d):
     return known.join(new, "sku", "full").select("sku", F.coalesce("label", "l2").alias("label"), (F.coalesce("hits", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("hit_count"))
 
 
-HASH = {"ph": "SELECT doc_id AS id, CAST(doc_id % 500 AS BIGINT) * 72057594037 + CASE WHEN doc_id % 7 = 0 THEN 5 ELSE 0 END AS hash FROM documents",
-        "pg": "SELECT hash, min(id) AS id FROM ph GROUP BY hash"}
+# A text's picture: every pair of neighbouring words puts one point into each row of a grid, at the columns that its digest names.
+ROWS, COLUMNS = V.HASH_ROWS, V.HASH_COLUMNS + 1
+WORDS = r"[^\x20\x09-\x0D]+"
+HASH = {
+    "pw": f"SELECT doc_id AS id, regexp_extract_all(text, '{WORDS}') AS w FROM documents",
+    "pp": "SELECT id, md5(a || ' ' || b) AS h FROM (SELECT id, unnest(w[1:len(w) - 1]) AS a, unnest(w[2:len(w)]) AS b FROM pw WHERE len(w) > 1) UNION ALL SELECT id, md5(w[1] || ' ') AS h FROM pw WHERE len(w) = 1",
+    "pc": f"SELECT id, k, CAST('0x' || substr(h, 2 * k + 1, 2) AS INT) % {COLUMNS} AS c FROM (SELECT id, h, unnest(range({ROWS})) AS k FROM pp)",
+    "pr": "SELECT id, k, [" + ", ".join(f"count(*) FILTER (c = {i})" for i in range(COLUMNS)) + "] AS g FROM pc GROUP BY id, k",
+    "ph": "SELECT id, list(v ORDER BY k) AS hash FROM (SELECT id, k, " + " + ".join(f"(g[{i + 2}] > g[{i + 1}])::INT * {1 << (COLUMNS - 2 - i)}" for i in range(COLUMNS - 1)) + " AS v FROM pr) GROUP BY id",
+    "pg": "SELECT hash, min(id) AS id FROM ph GROUP BY hash",
+    "pd": "SELECT a.id AS a, b.id AS b, CAST(" + " + ".join(f"bit_count(xor(a.hash[{k}], b.hash[{k}]))::INT" for k in range(1, ROWS + 1)) + " AS INT) AS dist FROM pg a JOIN pg b ON a.id < b.id",
+}
+
+
+def _pictures(d):
+    """(id, hash) of every text with a word; a text of one word counts as a pair with nothing."""
+    words = F.regexp_extract_all("text", F.lit(WORDS), F.lit(0))
+    pairs = F.when(F.size("w") == 1, F.array(F.md5(F.concat(c("w")[0], F.lit(" "))))).otherwise(
+        F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.md5(F.concat_ws(" ", a, b))))
+    t = d.spread("documents").select(c("doc_id").alias("id"), words.alias("w")).where("size(w) > 0").select("id", pairs.alias("points"))
+
+    def draw(batches):
+        for batch in batches:
+            points, grids = batch.column("points"), []
+            off = np.asarray(points.offsets)
+            row = np.arange(ROWS) * COLUMNS
+            for a, b in zip(off[:-1], off[1:], strict=True):
+                digests = np.frombuffer(bytes.fromhex("".join(points.values.slice(a, b - a).to_pylist())), np.uint8).reshape(-1, ROWS)
+                grids.append(np.bincount((digests % COLUMNS + row).ravel(), minlength=ROWS * COLUMNS))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(grids, pa.list_(pa.int64()))], names=["id", "grid"])
+
+    return t.mapInArrow(draw, "id long, grid array<long>").select("id", V.difference_hash(c("grid")).alias("hash"))
 
 
-@query("j29_near_photos", "SELECT a.id AS a, b.id AS b, bit_count(xor(a.hash, b.hash)) AS dist FROM pg a JOIN pg b ON a.id < b.id AND bit_count(xor(a.hash, b.hash)) <= 3", HASH)
+@query("j29_near_photos", "SELECT a, b, dist FROM pd WHERE dist <= 30", HASH)
 def j29(d):
-    h = (c("doc_id") % 500) * F.lit(72057594037) + F.when(c("doc_id") % 7 == 0, 5).otherwise(0)
-    return V.near_hashes(d.table("documents").select(c("doc_id").alias("id"), h.cast("bigint").alias("hash")), 3)
+    return V.near_hashes(_pictures(d), 30)
+
+
+@query("j29_less_near_photos", "SELECT a, b, dist FROM pd WHERE dist <= 47", HASH)
+def j29c(d):
+    return V.near_hashes(_pictures(d), 47)
+
+
+@query("j29_wide_photos", "SELECT a, b, dist FROM pd WHERE dist <= 80", HASH)
+def j29d(d):
+    return V.near_hashes(_pictures(d), 80)
 
 
 @query("j29_exact_copies", "SELECT sha256(text) AS h, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY text HAVING count(*) > 1")
