@@ -21,7 +21,7 @@ PARTS, WIDTH = 130003, 1 << 20
 #: Words of a chunk of documents with one dictionary; a longer document is a chunk of its own.
 CHUNK_WORDS = 5_000_000
 NEVER = 2 ** 31 - 1
-#: Frequent words that every task knows, taken from so many words of so many documents; all others meet their ids by a join.
+#: Frequent words that every task knows, taken from so many words of about so many documents; all others meet their ids by a join.
 HEAD, HEAD_DOCS, HEAD_DOC_WORDS = 65_536, 16_384, 2_000
 #: Words of more bytes are folded in blocks of so many pieces.
 LONG, BLOCK = 64, 512
@@ -151,7 +151,7 @@ def unpacked(data: bytes, count: int) -> np.ndarray:
 
 def frequent(docs: DataFrame, pattern: str, fold) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Up to HEAD frequent words of a bounded sample, where the ids of each end, and their ids. Which words these are does not change any result."""
-    few = docs.select("text").limit(HEAD_DOCS).select(F.explode(F.slice(words_of(F.col("text"), pattern), 1, HEAD_DOC_WORDS)).alias("word"))
+    few = docs.select("text").sample(min(1.0, HEAD_DOCS / max(1, docs.count())), 7).select(F.explode(F.slice(words_of(F.col("text"), pattern), 1, HEAD_DOC_WORDS)).alias("word"))
     top = written(few.groupBy("word").count().orderBy(F.desc("count"), "word").limit(HEAD).select("word"), "bpe-frequent")
     with short_plans(docs.sparkSession):
         got = written(top.repartition("word").select("word", fold(F.col("word")).alias("ids")), "bpe-frequent-ids").toArrow()
