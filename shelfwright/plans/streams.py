@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from shelfwright.plans.registry import query
 from shelfwright.streaming import jobs as J
+from shelfwright.streaming import ordered as O
 
 c = F.col
 WM = "(SELECT max(ts) - INTERVAL '10 minutes' FROM ev)"
@@ -44,9 +45,9 @@ RATE = {
 }
 
 
-@query("s2_rate_limit_exact", "SELECT org_id, event_id, allowed FROM rwalk WHERE event_id IS NOT NULL", RATE)
+@query("s2_rate_limit_exact", f"SELECT org_id, rwalk.event_id, allowed FROM rwalk JOIN ev USING (org_id, event_id) WHERE ts <= {WM}", RATE)
 def s2b(d):
-    return J.drain(J.rate_limited(_ev(d).select("org_id", "event_id", "ts"), 3, 12 * 3600), "s2b")
+    return J.drain(O.rate_limited(_ev(d).select("org_id", "event_id", "ts"), 3, 12 * 3600), "s2b")
 
 
 @query("s3_sessions", f"""SELECT org_id, start, n FROM (SELECT org_id, min(ts) AS start, count(*) AS n, max(ts) AS last FROM (SELECT *, sum(brk) OVER (PARTITION BY org_id ORDER BY ts, event_id) AS sid FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY org_id ORDER BY ts, event_id) < INTERVAL '3 hours' THEN 0 ELSE 1 END AS brk FROM ev)) GROUP BY org_id, sid)
@@ -69,16 +70,16 @@ ALW = {
 }
 
 
-@query("s5_allowance_stream", "SELECT org_id, event_id, place, blocked FROM pwalk WHERE event_id IS NOT NULL", ALW)
+@query("s5_allowance_stream", "SELECT org_id, event_id, place, blocked FROM pwalk JOIN pur USING (org_id, event_id) WHERE ts <= (SELECT max(ts) - INTERVAL '10 minutes' FROM pur)", ALW)
 def s5(d):
-    return J.drain(J.allowance_stream(_ev(d).where("event_type = 'purchase'").select("org_id", "event_id", "ts"), 5, 24), "s5")
+    return J.drain(O.allowance_stream(_ev(d).where("event_type = 'purchase'").select("org_id", "event_id", "ts"), 5, 24), "s5")
 
 
 @query("s6_overdue_timers", f"""SELECT org_id, ts + INTERVAL '24 hours' AS due FROM (SELECT org_id, event_type, ts, lead(ts) OVER (PARTITION BY org_id ORDER BY ts, event_id) AS nxt FROM ev WHERE event_type IN ('signup', 'purchase'))
     WHERE event_type = 'signup' AND ts + INTERVAL '24 hours' < coalesce(nxt, (SELECT max(ts) - INTERVAL '10 minutes' FROM ev WHERE event_type IN ('signup', 'purchase')))""")
 def s6(d):
     e = _ev(d).where("event_type IN ('signup', 'purchase')").select("org_id", "event_id", "event_type", "ts")
-    return _ntz(J.drain(J.overdue_timers(e, 24), "s6"), "due")
+    return _ntz(J.drain(O.overdue_timers(e, 24), "s6"), "due")
 
 
 @query("s7_catalogue_stream", "SELECT sku, kind, v FROM (SELECT sku, kind, v, row_number() OVER (PARTITION BY sku ORDER BY v DESC) AS rn FROM (SELECT p_partkey AS sku, p_type AS kind, CAST(-1 AS BIGINT) AS v FROM part UNION ALL SELECT org_id, event_type, event_id FROM ev)) WHERE rn = 1")
@@ -88,10 +89,10 @@ def s7(d):
     return J.upsert_stream(stream, base, "sku", "v", "s7")
 
 
-@query("s8_completions", "SELECT org_id, scan_id, event_id FROM (SELECT org_id, event_id // 3 AS scan_id, event_id, event_type, lag(event_type) OVER (PARTITION BY org_id, event_id // 3 ORDER BY ts, event_id) AS prev FROM ev) WHERE event_type = 'purchase' AND coalesce(prev, '') <> 'purchase'")
+@query("s8_completions", f"SELECT org_id, scan_id, event_id FROM (SELECT org_id, event_id // 3 AS scan_id, event_id, ts, event_type, lag(event_type) OVER (PARTITION BY org_id, event_id // 3 ORDER BY ts, event_id) AS prev FROM ev) WHERE event_type = 'purchase' AND coalesce(prev, '') <> 'purchase' AND ts <= {WM}")
 def s8(d):
     e = _ev(d).select("org_id", F.floor(c("event_id") / 3).alias("scan_id"), "event_id", "ts", F.when(c("event_type") == "purchase", "completed").otherwise("open").alias("status"))
-    return J.drain(J.completions(e), "s8")
+    return J.drain(O.completions(e), "s8")
 
 
 @query("s9_stream_static_join", "SELECT event_id, c_mktsegment AS segment FROM ev JOIN customer ON org_id = c_custkey")

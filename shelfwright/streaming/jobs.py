@@ -3,13 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from shelfwright.session import ensure_checkpoint_dir
 
@@ -54,97 +51,6 @@ def first_per_key(events: DataFrame, *keys: str) -> DataFrame:
     return events.select(*keys).dropDuplicates(list(keys))
 
 
-def _rows(pdfs: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    # The rows of one key in one micro-batch; the source's files per trigger bound them.
-    return pd.concat(list(pdfs)).sort_values(["ts", "event_id"])
-
-
-def rate_limited(events: DataFrame, limit: int, seconds: int) -> DataFrame:
-    """Each hit with its verdict; only accepted hits count against the limit of the last ``seconds``."""
-    span = pd.Timedelta(seconds=seconds)
-
-    def run(key, pdfs, state: GroupState):
-        hits = list(state.get[0]) if state.exists else []
-        out = []
-        for r in _rows(pdfs).itertuples(index=False):
-            hits = [h for h in hits if h > r.ts - span]
-            ok = len(hits) < limit
-            if ok:
-                hits.append(r.ts)
-            out.append((key[0], r.event_id, ok))
-        state.update((hits,))
-        yield pd.DataFrame(out, columns=["org_id", "event_id", "allowed"])
-
-    return events.groupBy("org_id").applyInPandasWithState(
-        run, "org_id bigint, event_id bigint, allowed boolean", "hits array<timestamp>", "append", GroupStateTimeout.NoTimeout)
-
-
-def allowance_stream(events: DataFrame, limit: int, hours: int) -> DataFrame:
-    """Rolling allowance: every completion with its place in the batch, or blocked while it cools down."""
-    span = pd.Timedelta(hours=hours)
-
-    def run(key, pdfs, state: GroupState):
-        used, until = state.get if state.exists else (0, None)
-        out = []
-        for r in _rows(pdfs).itertuples(index=False):
-            if until is not None and r.ts < until:
-                out.append((key[0], r.event_id, 0, True))
-                continue
-            used += 1
-            out.append((key[0], r.event_id, used, False))
-            if used == limit:
-                used, until = 0, r.ts + span
-        state.update((used, until))
-        yield pd.DataFrame(out, columns=["org_id", "event_id", "place", "blocked"])
-
-    return events.groupBy("org_id").applyInPandasWithState(
-        run, "org_id bigint, event_id bigint, place int, blocked boolean", "used int, until timestamp", "append", GroupStateTimeout.NoTimeout)
-
-
-def completions(events: DataFrame) -> DataFrame:
-    """Emits the moment a scan turns completed from anything else."""
-    def run(key, pdfs, state: GroupState):
-        last = state.get[0] if state.exists else ""
-        out = []
-        for r in _rows(pdfs).itertuples(index=False):
-            if r.status == "completed" and last != "completed":
-                out.append((key[0], key[1], r.event_id))
-            last = r.status
-        state.update((last,))
-        yield pd.DataFrame(out, columns=["org_id", "scan_id", "event_id"]).astype("int64")
-
-    return events.groupBy("org_id", "scan_id").applyInPandasWithState(
-        run, "org_id bigint, scan_id bigint, event_id bigint", "last string", "append", GroupStateTimeout.NoTimeout)
-
-
-def overdue_timers(events: DataFrame, hours: int) -> DataFrame:
-    """An opening event starts a timer, a closing one stops it; an expired timer emits once."""
-    span = pd.Timedelta(hours=hours)
-
-    def run(key, pdfs, state: GroupState):
-        if state.hasTimedOut:
-            due = state.get[0]
-            state.remove()
-            yield pd.DataFrame({"org_id": [key[0]], "due": [due]})
-            return
-        due = state.get[0] if state.exists else None
-        out = []
-        for r in _rows(pdfs).itertuples(index=False):
-            if due is not None and due < r.ts:
-                out.append((key[0], due))
-            due = r.ts + span if r.event_type == "signup" else None
-        if due is None:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((due,))
-            state.setTimeoutTimestamp(max(int(due.timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["org_id", "due"]).astype({"org_id": "int64", "due": "datetime64[ns]"})
-
-    return events.groupBy("org_id").applyInPandasWithState(
-        run, "org_id bigint, due timestamp", "due timestamp", "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def enrich(events: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
     """Stream-static join; Spark broadcasts the dimension only when it is small enough."""
     return events.join(dimension, key)
