@@ -20,9 +20,10 @@ RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 PARTS, WIDTH = 130003, 1 << 20
 #: Words of a chunk of documents with one dictionary; a longer document is a chunk of its own.
 CHUNK_WORDS = 5_000_000
+SLICE_WORDS = 500_000
 NEVER = 2 ** 31 - 1
 #: Frequent words that every task knows, taken from so many words of about so many documents; all others meet their ids by a join.
-HEAD, HEAD_DOCS, HEAD_DOC_WORDS = 65_536, 16_384, 2_000
+HEAD, HEAD_DOCS, HEAD_DOC_WORDS = 262_144, 16_384, 2_000
 #: Words of more bytes are folded in blocks of so many pieces.
 LONG, BLOCK = 64, 512
 
@@ -142,19 +143,22 @@ def words_of(text: Column, pattern: str) -> Column:
 
 
 def packed(*arrays: np.ndarray) -> bytes:
-    return pa.compress(b"".join(a.astype(np.int32).tobytes() for a in arrays), "zstd", asbytes=True)
+    """Numbers as compressed planes of their bytes: small numbers are frequent, so the higher planes nearly vanish."""
+    planes = np.concatenate([a.astype("<i4") for a in arrays]).view(np.uint8).reshape(-1, 4).T
+    return pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
 
 def unpacked(data: bytes, count: int) -> np.ndarray:
-    return np.frombuffer(pa.decompress(data, 4 * count, "zstd", asbytes=True), np.int32)
+    planes = np.frombuffer(pa.decompress(data, 4 * count, "zstd", asbytes=True), np.uint8).reshape(4, count)
+    return np.ascontiguousarray(planes.T).view("<i4").ravel()
 
 
 def frequent(docs: DataFrame, pattern: str, fold) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Up to HEAD frequent words of a bounded sample, where the ids of each end, and their ids. Which words these are does not change any result."""
     few = docs.select("text").sample(min(1.0, HEAD_DOCS / max(1, docs.count())), 7).select(F.explode(F.slice(words_of(F.col("text"), pattern), 1, HEAD_DOC_WORDS)).alias("word"))
-    top = written(few.groupBy("word").count().orderBy(F.desc("count"), "word").limit(HEAD).select("word"), "bpe-frequent")
+    top = written(few.groupBy("word").count().orderBy(F.desc("count"), "word").limit(HEAD), "bpe-frequent")
     with short_plans(docs.sparkSession):
-        got = written(top.repartition("word").select("word", fold(F.col("word")).alias("ids")), "bpe-frequent-ids").toArrow()
+        got = written(top.repartition("word").select("word", "count", fold(F.col("word")).alias("ids")), "bpe-frequent-ids").toArrow().sort_by([("count", "descending"), ("word", "ascending")])
     ids = got.column("ids").combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32()))
     return got.column("word").combine_chunks().cast(pa.string()), np.cumsum(np.diff(np.asarray(ids.offsets))), np.asarray(ids.flatten(), dtype=np.int32)
 
@@ -173,7 +177,7 @@ def chunks(docs: DataFrame, pattern: str, head: pa.Array) -> DataFrame:
                 coded = words.values.slice(off[i], off[j] - off[i]).dictionary_encode()
                 known = pc.index_in(coded.dictionary, head)
                 rare = np.asarray(known.is_null())
-                place = np.where(rare, len(head) + np.cumsum(rare) - 1, np.asarray(known.fill_null(0)))
+                place = np.where(rare, len(head) + np.cumsum(rare) - 1, np.asarray(known.fill_null(0))).astype(np.int32)
                 codes = place[np.asarray(coded.indices)] if len(place) else np.zeros(0, np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([chunk]), pa.array([coded.dictionary.filter(pa.array(rare))], pa.list_(pa.string())), pa.array([batch.column("doc_id").slice(i, j - i)], pa.list_(batch.schema.field("doc_id").type)),
@@ -256,15 +260,19 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
         ids = np.concatenate(flat)
         docs_, lists = [], []
         for row in range(left.num_rows):
-            sizes = np.asarray(left.column("sizes")[row].values)
-            codes = unpacked(left.column("codes")[row].as_py(), int(sizes.sum()))
-            n = lengths[codes]
-            to = np.cumsum(n)
-            got = ids[np.repeat(begins[codes] - (to - n), n) + np.arange(int(to[-1]) if len(to) else 0)]
-            ends = np.concatenate([[0], to])[np.concatenate([[0], np.cumsum(sizes)])]
+            ends = np.concatenate([[0], np.cumsum(np.asarray(left.column("sizes")[row].values), dtype=np.int64)])
+            codes = unpacked(left.column("codes")[row].as_py(), int(ends[-1]))
             docs_.append(left.column("doc_ids")[row].values)
-            lists.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(got.astype(np.int32))))
-        return pa.table({"doc_id": pa.chunked_array(docs_, left.schema.field("doc_ids").type.value_type), "ids": pa.chunked_array(lists, pa.list_(pa.int32()))})
+            i = 0
+            while i < len(ends) - 1:  # documents of some hundred thousand words at a time
+                j = max(i + 1, int(np.searchsorted(ends, ends[i] + SLICE_WORDS, "right")) - 1)
+                own = codes[ends[i]:ends[j]]
+                n = lengths[own]
+                to = np.concatenate([[0], np.cumsum(n)])
+                got = ids[np.repeat(begins[own] - to[:-1], n) + np.arange(to[-1])]
+                lists.append(pa.ListArray.from_arrays(pa.array(to[ends[i:j + 1] - ends[i]].astype(np.int32)), pa.array(got.astype(np.int32))))
+                i = j
+        return pa.table({"doc_id": pa.chunked_array(docs_, left.schema.field("doc_ids").type.value_type).combine_chunks(), "ids": pa.chunked_array(lists, pa.list_(pa.int32())).combine_chunks()})
 
     return parts.drop("words").groupBy("chunk").cogroup(found.groupBy("of_chunk")).applyInArrow(assemble, f"doc_id {kind}, ids array<int>")
 
