@@ -11,6 +11,7 @@ from shelfwright.plans.registry import query
 from shelfwright.session import ensure_checkpoint_dir
 from shelfwright.sources import documents as DO
 from shelfwright.sources import tables as T
+from shelfwright.sources.keyed_table import KeyedTable
 
 c = F.col
 RAWP = {"rawp": """SELECT scan_id, pos, location, CASE WHEN ln = 2 THEN ' ' ELSE brand END AS brand, product_name, category, sub_category, CASE WHEN pos % 7 = 0 THEN 'x1' WHEN pos % 7 = 1 THEN '' WHEN pos % 7 = 2 THEN '-3' ELSE CAST(expected_facings AS VARCHAR) END AS ef,
@@ -145,7 +146,10 @@ def a7(d):
 def a9(d):
     cur = d.table("part").select(c("p_partkey").alias("sku"), c("p_brand").alias("brand"), F.lit(0).cast("bigint").alias("v"))
     inc = d.table("lineitem").where("l_returnflag = 'A'").groupBy(c("l_partkey").alias("sku")).agg(F.concat(F.lit("L"), F.max("l_linenumber").cast("string")).alias("brand"), (F.count("*") + 1).alias("v"))
-    return T.upsert(cur, inc, "sku", "v")
+    table = KeyedTable(d.spark, _stage(d, "upsert"), "sku", "v", cur.schema, buckets=8)
+    table.create(cur)
+    table.apply(inc, 0)
+    return table.read()
 
 
 @query("a10_inventory_csv", """SELECT scan_id, brand AS "Brand", product_name AS "Product", quantity AS "Quantity", round_even(confidence * 100.0e0, 1) AS "Confidence %", 'in stock' AS "Stock Status" FROM (SELECT scan_id, brand, product_name, quantity, 0.5e0 + (quantity % 8) / 16.0e0 AS confidence FROM inv)""")

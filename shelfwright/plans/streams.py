@@ -59,7 +59,7 @@ def s3(d):
 @query("s4_once_per_key", "SELECT DISTINCT org_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM ev WHERE event_type = 'purchase'")
 def s4(d):
     e = _ev(d).where("event_type = 'purchase'").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
-    return J.drain(J.first_per_key(e, "org_id", "k").select("org_id", "k"), "s4")
+    return J.first_per_key(e, "org_id", "k", name="s4")
 
 
 ALW = {

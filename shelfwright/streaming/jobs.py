@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfwright.session import ensure_checkpoint_dir
+from shelfwright.sources.keyed_table import KeyedTable, KeyLedger
+from shelfwright.streaming.ordered import STORE
 
 
 def event_stream(spark: SparkSession, folder: str, name: str = "events", delay: str = "10 minutes", files_per_trigger: int = 64) -> DataFrame:
@@ -46,9 +48,21 @@ def sessions(events: DataFrame, gap: str) -> DataFrame:
         "org_id", F.col("s.start").alias("start"), "n")
 
 
-def first_per_key(events: DataFrame, *keys: str) -> DataFrame:
-    """Each key once, whenever its rows arrive: the keys stay in the state, and no row is late (the event time is dropped)."""
-    return events.select(*keys).dropDuplicates(list(keys))
+def first_per_key(events: DataFrame, *keys: str, name: str = "once", root: str | None = None) -> DataFrame:
+    """Each key once, whenever its rows arrive, as a table.
+
+    The stream's state holds the keys of one watermark delay; what repeats later meets the ledger of all keys, which is stored. A
+    batch that fails is done again with the same result, and a restart with the same ``root`` goes on from there. Rows behind the watermark
+    are dropped by the stream, as in every other job over it.
+    """
+    spark = events.sparkSession
+    spark.conf.set(*STORE)
+    root = root or f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    ledger = KeyLedger(spark, f"{root}/keys", T.StructType([events.schema[k] for k in keys]))
+    once = events.dropDuplicatesWithinWatermark(list(keys)).select(*keys)
+    q = (once.writeStream.foreachBatch(lambda batch, number: ledger.add(batch, number)).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return ledger.read()
 
 
 def enrich(events: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
@@ -64,35 +78,18 @@ def within_window(left: DataFrame, right: DataFrame, key: str, minutes: int) ->
     return a.join(b, cond, "left_outer").select("k", "left_id", "right_id")
 
 
-def upsert_stream(events: DataFrame, base: DataFrame, key: str, version: str, name: str, root: str | None = None) -> DataFrame:
-    """Every micro-batch merges its newest row per key into the next version of the table.
+def upsert_stream(events: DataFrame, base: DataFrame, key: str, version: str, name: str, root: str | None = None, buckets: int = 64) -> DataFrame:
+    """Every micro-batch appends its newest row per key to a keyed table, which compacts buckets as they fill.
 
-    Batch n turns version n - 1 into version n, so a repeated or restarted batch gives the same table. ``versions`` below ``root``
-    records what is complete; a restart with the same ``root`` goes on from there and does not look at ``base``.
+    A repeated or restarted batch gives the same table; a restart with the same ``root`` goes on from there and does not look at ``base``.
     """
-    from shelfwright.sources.tables import upsert
-
     spark = events.sparkSession
-    fresh = root is None
     root = root or f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    done = lambda n: spark.createDataFrame([(n,)], "n long").write.mode("append").parquet(f"{root}/versions")
-    if not fresh:
-        try:
-            spark.read.schema("n long").parquet(f"{root}/versions").first()
-        except AnalysisException:  # no version yet
-            fresh = True
-    if fresh:
-        base.write.mode("overwrite").parquet(f"{root}/v-1")
-        done(-1)
-
-    def merge(batch: DataFrame, epoch: int) -> None:
-        upsert(spark.read.parquet(f"{root}/v{epoch - 1}"), batch, key, version).write.mode("overwrite").parquet(f"{root}/v{epoch}")
-        done(epoch)
-
-    q = events.writeStream.foreachBatch(merge).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+    table = KeyedTable(spark, f"{root}/table", key, version, base.schema, buckets)
+    table.create(base)
+    q = events.writeStream.foreachBatch(lambda batch, number: table.apply(batch, number)).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    last = spark.read.parquet(f"{root}/versions").agg(F.max("n")).first()[0]
-    return spark.read.parquet(f"{root}/v{last}")
+    return table.read()
 
 
 def late_rows(events: DataFrame, minutes: int, width: int = 1024) -> DataFrame:
