@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwright.functions import schedule as S
+from shelfwright.operators.slices import carried
 
 
 def with_variance(lines: DataFrame) -> DataFrame:
@@ -155,42 +153,6 @@ def expiry_overview(attempts: DataFrame, packets: DataFrame, now: Column) -> Dat
         F.count_if((F.col("due_at") < now) & F.col("inspection_status").isin("assigned", "in_progress")).alias("overdue_inspections"))
 
 
-def allowance(events: DataFrame, limit: int, hours: int, now: dt.datetime) -> DataFrame:
-    """Rolling allowance: the n-th completion of a batch blocks until ``hours`` later, then a new batch.
-
-    Completions of an organisation are read in time order with two numbers as state, so a very busy
-    organisation needs no more memory than a quiet one.
-    """
-    span = pd.Timedelta(hours=hours)
-    ordered = events.select("org_id", "ts").repartition("org_id").sortWithinPartitions("org_id", "ts")
-    cutoff = pd.Timestamp(now)
-
-    def close(org, n, start, blocked):
-        return (org, limit if blocked else n, blocked, start if blocked else None)
-
-    def run(batches):
-        org, n, start, blocked = None, 0, None, False
-        for pdf in batches:
-            out = []
-            for o, ts in pdf.itertuples(index=False, name=None):
-                if o != org:
-                    if org is not None:
-                        out.append(close(org, n, start, blocked))
-                    org, n, start, blocked = o, 0, None, False
-                if blocked or (start is not None and ts < start):
-                    continue
-                n += 1
-                if n == limit:
-                    start = ts + span
-                    blocked = cutoff < start
-                    n = n if blocked else 0
-            yield pd.DataFrame(out, columns=["org_id", "used", "blocked", "unlock_at"]).astype({"unlock_at": "datetime64[ns]"})
-        last = [close(org, n, start, blocked)] if org is not None else []
-        yield pd.DataFrame(last, columns=["org_id", "used", "blocked", "unlock_at"]).astype({"unlock_at": "datetime64[ns]"})
-
-    return ordered.mapInPandas(run, "org_id bigint, used int, blocked boolean, unlock_at timestamp_ntz")
-
-
 def usage_ledger(transitions: DataFrame, plans: DataFrame, ledger: DataFrame) -> DataFrame:
     """One billable row per scan that turned completed, not yet in the ledger."""
     new = transitions.where("status = 'completed'").where(F.coalesce("old_status", F.lit("")) != "completed").groupBy("org_id", "scan_id").agg(
@@ -214,13 +176,11 @@ def refresh_catalogue(current: DataFrame, incoming: DataFrame) -> DataFrame:
                     F.coalesce("n.updated_at", "c.updated_at").alias("updated_at"))
 
 
-def running_trend(counts: DataFrame, readings: DataFrame, threshold: int) -> DataFrame:
-    """Human count against the last machine reading and the previous human count of a store and SKU."""
+def running_trend(counts: DataFrame, readings: DataFrame, threshold: int, seconds: int = 86_400) -> DataFrame:
+    """Human count against the last machine reading and the previous human count of a store and SKU, however long ago."""
     both = counts.select("store_id", "sku", "ts", "seq", F.lit(1).alias("k"), F.col("qty").alias("human"), F.lit(None).cast("int").alias("ai")).unionByName(
         readings.select("store_id", "sku", "ts", "seq", F.lit(0).alias("k"), F.lit(None).cast("int").alias("human"), F.col("qty").alias("ai")))
-    w = Window.partitionBy("store_id", "sku").orderBy("ts", "k", "seq")
-    out = both.withColumn("ai_then", F.last("ai", ignorenulls=True).over(w)).withColumn(
-        "prev_human", F.last("human", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))).where("k = 1")
+    out = carried(both, ["store_id", "sku"], ["ts", "k", "seq"], {"ai_then": ("ai", True), "prev_human": ("human", False)}, seconds).where("k = 1")
     return out.select("store_id", "sku", "ts", "seq", "human", "prev_human", "ai_then",
                       (F.abs(F.col("human") - F.col("ai_then")) > threshold).alias("disagrees"))
 

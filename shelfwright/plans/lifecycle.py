@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from shelfwright.functions import schedule as S
 from shelfwright.operators import lifecycle as LC
+from shelfwright.operators import slices
 from shelfwright.plans.registry import query
 
 NOW_TEXT = "1998-06-01 12:00:00"
@@ -235,7 +236,7 @@ ALLOW = {
 
 @query("r17_rolling_allowance", "SELECT org_id, arg_max(n, rn) AS used, arg_max(blocked, rn) AS blocked, CASE WHEN arg_max(blocked, rn) THEN arg_max(start, rn) END AS unlock_at FROM awalk GROUP BY org_id", ALLOW)
 def r17(d):
-    return LC.allowance(d.ev.where("event_type = 'purchase'"), 5, 24, dt.datetime(2024, 1, 30, 12))
+    return slices.allowance(d.ev.where("event_type = 'purchase'"), 5, 24, dt.datetime(2024, 1, 30, 12))
 
 
 USE = {"tr": "SELECT org_id, event_id // 3 AS scan_id, ts, CASE event_type WHEN 'purchase' THEN 'completed' ELSE 'running' END AS status, lag(CASE event_type WHEN 'purchase' THEN 'completed' ELSE 'running' END) OVER (PARTITION BY org_id, event_id // 3 ORDER BY ts, event_id) AS old_status FROM ev"}
