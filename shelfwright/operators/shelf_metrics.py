@@ -242,26 +242,51 @@ def execution_score(metrics: DataFrame) -> DataFrame:
     )
 
 
-def distinct_identities(products: DataFrame) -> DataFrame:
-    """Distinct products, brands and variants; rows with neither SKU nor variant stay apart."""
+def identity_keys(products: DataFrame, *keep: str) -> DataFrame:
+    """Keys of what a row identifies; rows with neither SKU nor variant stay apart, and a missing identity is null."""
     ident = K.product_identity(F.col("brand"), F.col("product_name"), F.col("variant"), F.col("sku"))
     loose = K.is_placeholder(F.col("sku")) & K.is_placeholder(F.col("variant"))
     row_key = F.concat(ident, F.lit("|row:"), F.col("pos").cast("string"))
     known = F.upper(F.coalesce("product_status", F.lit("IDENTIFIED"))) != "UNVERIFIABLE"
     brand_ok = ~K.is_placeholder(F.col("brand")) & (F.upper(F.coalesce("brand_status", F.lit("IDENTIFIED"))) != "UNVERIFIABLE")
-    keyed = products.select(
-        "scan_id",
+    return products.select(
+        "scan_id", *keep,
         F.when(known & (ident != ""), F.when(loose, row_key).otherwise(ident)).alias("product_key"),
         F.when(brand_ok, K.brand_key(F.col("brand"))).alias("brand_key"),
         F.when(known, F.when((ident == "") | loose, row_key).otherwise(ident)).alias("variant_key"),
+        loose.alias("loose"),
     )
-    return keyed.groupBy("scan_id").agg(
+
+
+def distinct_identities(products: DataFrame) -> DataFrame:
+    """Distinct products, brands and variants of each scan."""
+    return identity_keys(products).groupBy("scan_id").agg(
         F.count_distinct("product_key").alias("products_identified"),
         F.count_distinct("brand_key").alias("brands_identified"),
         F.count_distinct("variant_key").alias("variants_identified"),
     )
 
 
+def identity_sketches(products: DataFrame, log2_size: int = 12) -> DataFrame:
+    """(scan_id, products, brands): a sketch of the identities of each scan, to be stored with it and rolled up to any level.
+
+    A sketch has at most 2 ** ``log2_size`` cells. Rows that stay apart in a scan are of that scan only, so their keys name it.
+    """
+    keys = identity_keys(products)
+    own = F.when(F.col("loose"), F.concat(F.col("product_key"), F.lit("|"), F.col("scan_id").cast("string"))).otherwise(F.col("product_key"))
+    return keys.groupBy("scan_id").agg(F.hll_sketch_agg(own, log2_size).alias("products"), F.hll_sketch_agg("brand_key", log2_size).alias("brands"))
+
+
+def rolled_up(sketches: DataFrame, *by: str, log2_size: int = 12) -> DataFrame:
+    """Distinct products and brands of ``by`` from the sketches of their scans, and the standard error to expect of them (as a share).
+
+    Only sketches are shuffled; those of a level can be rolled up again.
+    """
+    u = sketches.groupBy(*by).agg(F.hll_union_agg("products").alias("products"), F.hll_union_agg("brands").alias("brands"))
+    error = 1.04 / 2 ** (log2_size / 2)
+    return u.select(*by, "products", "brands", F.hll_sketch_estimate("products").alias("products_about"), F.hll_sketch_estimate("brands").alias("brands_about"), F.lit(error).alias("relative_error"))
+
+
 def shelf_only_brands(products: DataFrame) -> DataFrame:
     """Brand shares and ranks by facings and by visible units, over brands of a scan."""
     per = products.withColumn("brand_key", K.brand_key(F.col("brand"))).where(F.col("brand_key") != "").groupBy(

@@ -190,6 +190,18 @@ def g31(d):
     return M.distinct_identities(d.cv)
 
 
+@query("g31_sketch_rollup", """SELECT store_id, true AS products_within, true AS brands_within, count(DISTINCT scan_id) AS n_scans FROM (SELECT cv.scan_id, store_id FROM cv JOIN scans ON cv.scan_id = scans.scan_id) GROUP BY store_id""")
+def g31b(d):
+    """Stores from the sketches of their scans, against the exact counts: within four standard errors and one."""
+    of = d.scans.select("scan_id", "store_id")
+    about = M.rolled_up(M.identity_sketches(d.cv).join(of, "scan_id"), "store_id")
+    keys = M.identity_keys(d.cv).join(of, "scan_id")
+    own = F.when(F.col("loose"), F.concat("product_key", F.lit("|"), F.col("scan_id").cast("string"))).otherwise(F.col("product_key"))
+    exact = keys.groupBy("store_id").agg(F.count_distinct(own).alias("p"), F.count_distinct("brand_key").alias("b"), F.count_distinct("scan_id").alias("n_scans"))
+    near = lambda a, e: F.abs(F.col(a) - F.col(e)) <= 4 * F.col("relative_error") * F.col(e) + 1
+    return exact.join(about, "store_id").select("store_id", near("products_about", "p").alias("products_within"), near("brands_about", "b").alias("brands_within"), "n_scans")
+
+
 @query("v10_product_identity", "SELECT scan_id, pos, ident FROM ident", IDENT)
 def v10(d):
     from shelfwright.functions import keys as K
