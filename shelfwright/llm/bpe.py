@@ -19,7 +19,7 @@ RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 #: Parts of the rank map; a look-up reads one part of a few entries. A pair of ids is one number.
 PARTS, WIDTH = 130003, 1 << 20
 #: Words of a chunk of documents with one dictionary; a longer document is a chunk of its own.
-CHUNK_WORDS = 5_000_000
+CHUNK_WORDS = 8_000_000
 SLICE_WORDS = 500_000
 NEVER = 2 ** 31 - 1
 #: Frequent words that every task knows, taken from so many words of about so many documents; all others meet their ids by a join.
@@ -145,7 +145,7 @@ def words_of(text: Column, pattern: str) -> Column:
 def packed(*arrays: np.ndarray) -> bytes:
     """Numbers as compressed planes of their bytes: small numbers are frequent, so the higher planes nearly vanish."""
     planes = np.concatenate([a.astype("<i4") for a in arrays]).view(np.uint8).reshape(-1, 4).T
-    return pa.compress(planes.tobytes(), "zstd", asbytes=True)
+    return pa.Codec("zstd", compression_level=6).compress(planes.tobytes(), asbytes=True)
 
 
 def unpacked(data: bytes, count: int) -> np.ndarray:
