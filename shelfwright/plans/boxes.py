@@ -76,7 +76,28 @@ def b5(d):
     return B.top_partial(d.fac, 900).select("scan_id", "pos", "excluded")
 
 
-@query("b3_merge_split_columns")
+def _merge_rounds(rounds: int = 24) -> dict[str, str]:
+    """The rounds of merging, one table each; the last ones find nothing to merge."""
+    xo = S.x_over("a", "b")
+    narrow, gap = "least(a.x2 - a.x1, b.x2 - b.x1)", "abs((a.x1 + a.x2) / 2.0e0 - (b.x1 + b.x2) / 2.0e0)"
+    up = "(a.y1 + a.y2 < b.y1 + b.y2)"
+    span, between = f"(CASE WHEN {up} THEN b.y2 - a.y1 ELSE a.y2 - b.y1 END)", f"(CASE WHEN {up} THEN b.y1 - a.y2 ELSE a.y1 - b.y2 END)"
+    low, high = "least(a.y2 - a.y1, b.y2 - b.y1)", "greatest(a.y2 - a.y1, b.y2 - b.y1)"
+    halves = (f"({xo} >= 0.25e0 AND {gap} <= {narrow} * 0.38e0 AND {between} <= {high} * 0.4e0 AND {span} <= (CASE WHEN a.med_h > 0 THEN a.med_h ELSE {low} END) * 2.2e0 "
+              f"AND (CAST({span} AS DOUBLE) / {low} BETWEEN 1.35e0 AND 2.4e0 OR (a.med_h > 0 AND {span} BETWEEN a.med_h * 0.9e0 AND a.med_h * 1.35e0)))")
+    inner = S.inter("a", "b")
+    body = f"({S.cap('a', 'b')} OR {S.cap('b', 'a')} OR {S.iou('a', 'b')} >= 0.12e0 OR {inner} >= 0.45e0 * {S.area('a')} AND {inner} > 0 OR {inner} >= 0.45e0 * {S.area('b')} AND {inner} > 0)"
+    rule = f"{S.same_band('a', 'b')} AND ({halves} OR ({S.same_row('a', 'b')} AND {body})) AND (a.med_h <= 0 OR greatest(a.y2, b.y2) - least(a.y1, b.y1) <= a.med_h * 2.25e0)"
+    out = {"mg0": "/*stored*/ SELECT f.scan_id, f.pos, x1, y1, x2, y2, coalesce(med_h, 0) AS med_h FROM fac f JOIN (SELECT scan_id, list_sort(list(y2 - y1))[CAST(floor(count(*) / 2) AS INT) + 1] AS med_h FROM fac GROUP BY scan_id) m ON f.scan_id = m.scan_id"}
+    for k in range(rounds):
+        out[f"mp{k}"] = f"/*stored*/ SELECT a.scan_id, a.pos AS p, b.pos AS q FROM mg{k} a JOIN mg{k} b ON a.scan_id = b.scan_id AND a.pos < b.pos AND {rule}"
+        out[f"mf{k}"] = f"/*stored*/ SELECT scan_id, p, min(q) AS q FROM (SELECT * FROM mp{k} UNION ALL SELECT scan_id, q, p FROM mp{k}) GROUP BY scan_id, p"
+        out[f"mg{k + 1}"] = f"""/*stored*/ SELECT g.scan_id, coalesce(m.p, g.pos) AS pos, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, max(med_h) AS med_h FROM mg{k} g
+            LEFT JOIN (SELECT x.scan_id, x.p, x.q FROM mf{k} x JOIN mf{k} y ON x.scan_id = y.scan_id AND x.q = y.p AND y.q = x.p WHERE x.p < x.q) m ON g.scan_id = m.scan_id AND g.pos = m.q GROUP BY g.scan_id, coalesce(m.p, g.pos)"""
+    return out
+
+
+@query("b3_merge_split_columns", "SELECT scan_id, pos, x1, y1, x2, y2 FROM mg24", _merge_rounds())
 def b3(d):
     return B.merge_columns(d.fac)
 
@@ -139,7 +160,20 @@ def _photos(d):
     return one.unionByName(two)
 
 
-@query("j21_merge_photo_facings")
+PHOTOS = {
+    "ph1": """SELECT scan_id, pos, x1, y1, x2, y2, confidence, concat_ws('|', lower(brand), lower(product_name)) AS key, 1 AS photo FROM fac UNION ALL
+        SELECT scan_id, pos + 2000000000000000000, x1 + CAST(pos % 60 AS INT), y1, x2 + CAST(pos % 60 AS INT), y2, confidence + 0.02e0, concat_ws('|', lower(brand), lower(product_name)), 2 FROM fac WHERE pos % 3 <> 0""",
+    "ph2": "/*stored*/ SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY photo, pos) AS rn FROM ph1",
+    "phw": f"""/*recursive*/ SELECT scan_id, CAST(0 AS BIGINT) AS rn, CAST([] AS STRUCT(x1 INT, y1 INT, x2 INT, y2 INT, confidence DOUBLE, key VARCHAR, pos BIGINT, photo INT)[]) AS kept FROM (SELECT DISTINCT scan_id FROM ph2)
+        UNION ALL SELECT scan_id, rn, CASE WHEN spot IS NULL OR spot = 0 THEN list_append(kept, b) WHEN b.confidence > kept[spot].confidence THEN list_concat(list_append(kept[1:spot - 1], b), kept[spot + 1:]) ELSE kept END
+        FROM (SELECT w.scan_id, p.rn, w.kept, struct_pack(x1 := p.x1, y1 := p.y1, x2 := p.x2, y2 := p.y2, confidence := p.confidence, key := p.key, pos := p.pos, photo := p.photo) AS b,
+              list_position(list_transform(w.kept, lambda a: a.key = p.key AND {S.inter('a', 'p')} > 0 AND {S.iou('a', 'p')} >= 0.45e0), true) AS spot
+              FROM phw w JOIN ph2 p ON p.scan_id = w.scan_id AND p.rn = w.rn + 1)""",
+    "phl": "SELECT scan_id, unnest(arg_max(kept, rn)) AS k FROM phw GROUP BY scan_id",
+}
+
+
+@query("j21_merge_photo_facings", "SELECT scan_id, k.pos AS pos, k.photo AS photo FROM phl", PHOTOS)
 def j21(d):
     return B.merge_photos(_photos(d))
 

@@ -30,7 +30,7 @@ def with_ctes(select: str, own: dict[str, str] | None = None) -> str:
     if not ordered:
         return select
     recursive = "RECURSIVE " if any("/*recursive*/" in defs[n] for n in ordered) else ""
-    return f"WITH {recursive}" + ",\n".join(f"{n} AS ({defs[n]})" for n in ordered) + "\n" + select
+    return f"WITH {recursive}" + ",\n".join(f"{n} AS {'MATERIALIZED ' if '/*stored*/' in defs[n] else ''}({defs[n]})" for n in ordered) + "\n" + select
 
 
 def exact_round(sql: str) -> str:

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
+import csv
 import re
-from functools import reduce
-from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,36 +37,50 @@ def separator_of(line: str) -> str:
     return ";" if line.count(";") > line.count(",") else ","
 
 
-def file_headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
-    """Header line to the files that start with it. The driver holds file names and distinct headers, no rows."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), "value")
-    first = lines.where("block = 0").groupBy("file").agg(F.min_by("value", "n").alias("line"))
-    return {r.line: r.files for r in first.groupBy("line").agg(F.collect_list("file").alias("files")).orderBy("line").collect()}
+def text_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Lines of all files, the header line of each file, and the different header lines, which are all that reaches the driver."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    heads = lines.where("block = 0").groupBy("source_file").agg(F.min_by("value", "n").alias("line"))
+    return lines, heads, sorted(r.line for r in heads.select("line").distinct().collect())
+
+
+def header_names(line: str, sep: str | None) -> list[str]:
+    return [canonical_header(c) for c in next(csv.reader([line], delimiter=sep or separator_of(line)), [])]
 
 
 def read_csv(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
     """All-string rows under canonical headers, with the file each row came from.
 
-    Files are read under their own header and separator and put together by column name; a column that a file lacks is null.
+    Each file is read under its own header and separator; a column that a file lacks is null, and of columns with one canonical name the
+    first counts. Files are read as text in one pass and each line is parsed by the header of its file, which it meets in parts, so that one
+    large file is no hot key. Lines equal to the header are headers again; blank lines are skipped.
     """
-    parts = []
-    for line, files in file_headers(spark, path).items():
-        # Spark writes file names in URLs; a reader takes them as paths.
-        df = spark.read.option("header", True).option("sep", sep or separator_of(line)).option("quote", '"').option("escape", '"').csv([unquote(f) for f in files])
-        names = [canonical_header(c) for c in df.columns]
-        first_of = {n: i for i, n in reversed(list(enumerate(names)))}
-        parts.append(df.select(*[F.col(f"`{df.columns[i]}`").alias(n) for n, i in sorted(first_of.items(), key=lambda kv: kv[1])], F.col("_metadata.file_path").alias("source_file")))
-    if not parts:
+    lines, heads, headers = text_lines(spark, path)
+    if not headers:
         return spark.createDataFrame([], "source_file string")
-    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+    salts = 16
+    heads = heads.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    rows = lines.withColumn("salt", F.pmod(F.xxhash64("n"), F.lit(salts)).cast("int")).join(heads, ["source_file", "salt"]).where((F.col("value") != F.col("line")) & (F.trim("value") != ""))
+    names = {h: header_names(h, sep) for h in headers}
+    every = list(dict.fromkeys(n for h in headers for n in names[h]))
+
+    def parsed(line: str):
+        first_of = {n: i for i, n in reversed(list(enumerate(names[line])))}
+        schema = ", ".join(f"c{i} string" for i in range(len(names[line])))
+        row = F.from_csv("value", schema, {"sep": sep or separator_of(line), "quote": '"', "escape": '"'})
+        fields = lambda p: F.struct(*[(p[f"c{first_of[n]}"] if n in first_of else F.lit(None).cast("string")).alias(n) for n in every])
+        return F.when(F.col("line") == F.lit(line), F.transform(F.array(row), fields)[0])
+
+    out = rows.select(F.coalesce(*[parsed(h) for h in headers]).alias("r"), "source_file")
+    return out.select(*[F.col("r").getField(n).alias(n) for n in every if n != "source_file"], "source_file")
 
 
 def read_planogram_csv(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
     """Validated planogram rows; files without the required columns are refused with the names of the columns."""
-    for line in file_headers(spark, path):
-        names = {canonical_header(c.strip().strip('"')) for c in line.split(sep or separator_of(line))}
+    for line in text_lines(spark, path)[2]:
+        names = header_names(line, sep)
         missing = [c for c in REQUIRED if c not in names]
-        if not {"expected_facings", "expected_qty"} & names:
+        if not {"expected_facings", "expected_qty"} & set(names):
             missing.append("expected_facings or expected_qty")
         if missing:
             raise ValueError("missing required column: " + ", ".join(missing))

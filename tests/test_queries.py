@@ -14,7 +14,8 @@ SF = "/root/testdata/sf0.001"
 PICK = ["g5_brand_share", "g12_execution_score", "g23_role_dashboards", "g28_group_plan_share", "v31_annotate_rows", "g32_count_verification", "b1_non_max_suppression",
         "b4_missing_slots", "w12_mean_rows", "j1_planogram_join", "j7_compare_planogram", "r1_execution_risk", "t4_opportunity_ledger", "j28_token_correction", "g52_similar_groups",
         "j17_learned_merge", "r8_due_schedules", "r9_reminders", "r11_hierarchy_outlets", "r17_rolling_allowance", "a1_planogram_csv", "a14_document_tables",
-        "s1_tumbling_counts", "s2_rate_limit_exact", "s6_overdue_timers", "s10_stream_stream_join", "f25_row_allocation"]
+        "s1_tumbling_counts", "s2_rate_limit_exact", "s6_overdue_timers", "s10_stream_stream_join", "f25_row_allocation", "b3_merge_split_columns", "j21_merge_photo_facings",
+        "j29_near_photos", "s4_once_per_key", "s7_catalogue_stream", "w10_count_trend"]
 NAMES = sorted(entry.oracle_sql()) if os.environ.get("ALL_QUERIES") else PICK
 
 

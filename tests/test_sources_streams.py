@@ -41,6 +41,10 @@ def test_files_with_their_own_header_and_separator(spark, tmp_path):
     assert (rows["B1"].location, rows["B1"].product_name, rows["B1"].expected_facings, rows["B1"].sku) == ("S1", "P1", "3", None)
     assert (rows["B2"].location, rows["B2"].product_name, rows["B2"].expected_qty, rows["B2"].sku) == ("S2", "P,2", "4", "k")
     assert T.read_planogram_csv(spark, str(tmp_path)).count() == 2
+    (tmp_path / "d.csv").write_text('\ufeffstore,brand,category,subcategory,product,qty,Brand\n"S ""3""","B,3",c,s,P3,,other\n\nS4,,c,s\n')
+    rows = {r.location: r for r in T.read_csv(spark, str(tmp_path)).collect()}
+    assert (rows['S "3"'].brand, rows['S "3"'].expected_qty, rows["S4"].brand, rows["S4"].product_name) == ("B,3", None, None, None) and len(rows) == 4
+    assert all(r.source_file.endswith(".csv") for r in rows.values())
     (tmp_path / "c.csv").write_text("Store,Brand\nS3,B3\n")
     with pytest.raises(ValueError, match="category"):
         T.read_planogram_csv(spark, str(tmp_path))
