@@ -62,13 +62,19 @@ def compare_score(e: str = "e", a: str = "a") -> Column:
         .when((ef("p").contains("magic masala") & af("p").contains("magic masala")) | (ef("p").contains("tomato tango") & af("p").contains("tomato tango"))
               | (ef("p").contains("cream") & af("p").contains("onion")), 0.85)
         .when((ef("sub") != "") & (ef("sub") == af("sub")), 0.55)
-        .when((ef("sub") != "") & (af("raw") != ""), 0.62).otherwise(0.45))
+        .when((ef("sub") != "") & names_kind(ef("kw"), af("raw")), 0.62).otherwise(0.45))
+
+
+def names_kind(words: Column, text: Column) -> Column:
+    """A text names a kind by any of its words; a kind without words is named by every text."""
+    return (text != "") & ((F.size(words) == 0) | F.exists(words, lambda w: text.contains(w)))
 
 
 def _features(df: DataFrame, sub: Column) -> Column:
     sku = F.col("sku") if "sku" in df.columns else F.lit("")
+    kw = F.col("kw") if "kw" in df.columns else F.array().cast("array<string>")
     return F.struct(K.brand_key(F.col("brand"), F.col("product_name")).alias("bk"), product_tokens(F.col("product_name"), F.col("variant")).alias("p"),
-                    K.squash(F.concat_ws(" ", "product_name", "variant")).alias("raw"), K.squash(sku).alias("sku"), K.squash(sub).alias("sub"))
+                    K.squash(F.concat_ws(" ", "product_name", "variant")).alias("raw"), K.squash(sku).alias("sku"), K.squash(sub).alias("sub"), kw.alias("kw"))
 
 
 def compare_pairs(plan: DataFrame, inventory: DataFrame) -> DataFrame:
@@ -82,31 +88,86 @@ def compare_pairs(plan: DataFrame, inventory: DataFrame) -> DataFrame:
     return both.withColumn("score", compare_score()).where(F.col("score") >= MIN_SCORE).select("scan_id", "i", "j", "score").distinct()
 
 
-def compare_planogram(plan: DataFrame, inventory: DataFrame) -> DataFrame:
-    """Lines per expected product and per unmatched inventory row.
+def _paired(e: DataFrame, a: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Expected products with the inventory row each takes (and the score), and the rows that none takes.
 
     Expected products choose in plan order: each takes its best unused inventory row. In pair order
     (plan position, falling score, inventory position) that is the greedy one-to-one rule.
     """
-    e, a = plan_totals(plan), merge_inventory(inventory)
     pairs = cut_lineage(compare_pairs(e, a))
     taken = greedy_one_to_one(pairs, "scan_id", "i", "j", [F.col("i"), -F.col("score")]).select(
         "scan_id", "i", "j", (-F.col("order_1")).alias("score"))
     actual = a.select("scan_id", F.col("pos").alias("j"), F.col("brand").alias("actual_brand"), F.col("product_name").alias("actual_product"), F.col("quantity").alias("actual_qty"))
     j = e.withColumnRenamed("pos", "i").join(taken, ["scan_id", "i"], "left").join(actual, ["scan_id", "j"], "left")
-    found = F.col("j").isNotNull()
-    qty = F.coalesce("actual_qty", F.lit(0))
-    issue = F.when(~found, "missing").when(qty != F.col("expected_qty"), "qty_mismatch").otherwise("correct")
-    matched = j.select(
-        "scan_id", "i", "j", issue.alias("issue_type"), F.col("brand").alias("expected_brand"), F.col("product_name").alias("expected_product"),
-        "expected_qty", "actual_brand", "actual_product", qty.alias("actual_qty"),
-        F.when(~found, F.when(F.col("expected_qty") > 0, "critical").otherwise("warning")).when(issue == "correct", "info").otherwise("warning").alias("severity"))
     rest = actual.join(taken.select("scan_id", "j"), ["scan_id", "j"], "left_anti").where(
         ~(F.lower(F.trim("actual_brand")).isin("", "unknown") & F.lower(F.trim("actual_product")).isin("", "unknown", "unidentified sku")))
+    return j, rest
+
+
+def _lines(j: DataFrame, rest: DataFrame, issue: Column, severity: Column, *more: Column) -> DataFrame:
     none = F.lit(None).cast("string")
+    matched = j.select(
+        "scan_id", "i", "j", issue.alias("issue_type"), F.col("brand").alias("expected_brand"), F.col("product_name").alias("expected_product"),
+        "expected_qty", "actual_brand", "actual_product", F.coalesce("actual_qty", F.lit(0)).alias("actual_qty"), severity.alias("severity"), *more)
     extra = rest.select("scan_id", F.lit(None).cast("bigint").alias("i"), "j", F.lit("unexpected").alias("issue_type"), none.alias("expected_brand"), none.alias("expected_product"),
                         F.lit(0).cast("bigint").alias("expected_qty"), "actual_brand", "actual_product", F.coalesce("actual_qty", F.lit(0)).alias("actual_qty"), F.lit("warning").alias("severity"))
-    return matched.unionByName(extra)
+    return matched.unionByName(extra, allowMissingColumns=True)
+
+
+def compare_planogram(plan: DataFrame, inventory: DataFrame) -> DataFrame:
+    """Lines per expected product and per unmatched inventory row, from the two tables alone."""
+    j, rest = _paired(plan_totals(plan), merge_inventory(inventory))
+    found = F.col("j").isNotNull()
+    issue = F.when(~found, "missing").when(F.coalesce("actual_qty", F.lit(0)) != F.col("expected_qty"), "qty_mismatch").otherwise("correct")
+    return _lines(j, rest, issue, F.when(~found, F.when(F.col("expected_qty") > 0, "critical").otherwise("warning")).when(issue == "correct", "info").otherwise("warning"))
+
+
+def compare_in_context(plan: DataFrame, inventory: DataFrame, context: DataFrame, groups: DataFrame, kinds: DataFrame, detected: DataFrame) -> DataFrame:
+    """The comparison with all seven issue types and a detail text.
+
+    ``context`` = (scan_id, store_id, sub_category, aisle) of the audit, ``groups`` = (sub_category, grp) of sub-categories that count as
+    one, ``kinds`` = (sub_category, word) that name a kind in a product text, ``detected`` = (scan_id, j, sub_category) as recognised or
+    inferred for inventory rows. A matched row is in the wrong category when its sub-category, or else the audit's, is of another
+    group than the expected one; it is the wrong product when the match is weak and brand and kind do not agree. A row that nothing
+    expects is in the wrong location when another aisle of the store expects it. Missing context gives no such issues.
+    """
+    words = kinds.groupBy(F.col("sub_category").alias("of_sub")).agg(F.array_sort(F.collect_set(F.lower("word"))).alias("kw"))  # a few words each
+    with_words = lambda df: df.join(words, F.col("sub_category") == F.col("of_sub"), "left").withColumn("kw", F.coalesce("kw", F.array().cast("array<string>"))).drop("of_sub")
+    e, a = with_words(plan_totals(plan)), merge_inventory(inventory)
+    j, rest = _paired(e, a)
+    rest = cut_lineage(rest)
+    group = lambda name: groups.select(F.col("sub_category").alias(name), F.col("grp").alias(f"{name}_grp"))
+    seen = context.select("scan_id", F.coalesce("sub_category", F.lit("")).alias("scan_sub"))
+    raw = a.select("scan_id", F.col("pos").alias("j"), K.squash(F.concat_ws(" ", "product_name", "variant")).alias("text"), K.brand_key(F.col("brand"), F.col("product_name")).alias("abk"))
+    j = (j.join(seen, "scan_id", "left").join(detected.select("scan_id", "j", F.col("sub_category").alias("own_sub")), ["scan_id", "j"], "left").join(raw, ["scan_id", "j"], "left")
+          .withColumn("exp_sub", F.coalesce("sub_category", F.lit(""))).withColumn("det_sub", F.coalesce(F.nullif("own_sub", F.lit("")), "scan_sub", F.lit(""))))
+    for name in ("exp_sub", "scan_sub", "det_sub"):
+        j = j.join(group(name), name, "left").withColumn(f"{name}_grp", F.coalesce(F.col(f"{name}_grp").cast("string"), F.col(name)))
+    found, qty = F.col("j").isNotNull(), F.coalesce("actual_qty", F.lit(0))
+    in_scope = (F.col("scan_sub") != "") & (F.col("exp_sub_grp") == F.col("scan_sub_grp"))
+    wrong_category = (F.col("exp_sub") != "") & ~F.coalesce(in_scope, F.lit(False)) & (F.col("det_sub") != "") & (F.col("exp_sub_grp") != F.col("det_sub_grp"))
+    ebk = K.brand_key(F.col("brand"), F.col("product_name"))
+    # Fixed value: a conditioner is not taken for an expected shampoo.
+    rival = (F.col("exp_sub") == "shampoo") & F.col("text").contains("conditioner")
+    agrees = (ebk.contains(F.col("abk")) | F.col("abk").contains(ebk)) & (((F.col("exp_sub") == "") & (F.col("scan_sub") == "")) | (names_kind(F.col("kw"), F.col("text")) & ~rival))
+    weak = F.col("score") < 0.6
+    issue = F.when(~found, "missing").when(wrong_category, "wrong_category").when(weak & ~agrees, "wrong_product").when(qty != F.col("expected_qty"), "qty_mismatch").otherwise("correct")
+    severity = F.when(~found, F.when(F.col("expected_qty") > 0, "critical").otherwise("warning")).when(issue == "wrong_category", "critical").when(issue == "correct", "info").otherwise("warning")
+    counts = F.concat(F.lit("Expected "), F.col("expected_qty").cast("string"), F.lit(", found "), qty.cast("string"))
+    # Texts of the details.
+    detail = (F.when(issue.isin("missing", "qty_mismatch"), counts).when(issue == "wrong_category", F.concat(F.lit("Expected sub-category "), "exp_sub"))
+              .when(issue == "wrong_product", "Detected product does not match expected SKU/name").when(weak, "Brand and product type match (variant name differs)").otherwise("OK"))
+    lines = _lines(j, rest, issue, severity, detail.alias("detail"))
+    own = plan.select("scan_id", F.lower(F.trim("location")).alias("aisle")).unionByName(context.select("scan_id", F.lower(F.trim("aisle")).alias("aisle"))).where("aisle <> ''").distinct()
+    feature = a.select("scan_id", F.col("pos").alias("j"), _features(a, F.col("category")).alias("a"))
+    known = context.where("trim(aisle) <> ''").select("scan_id", "store_id")
+    store = with_words(plan.join(context.select("scan_id", "store_id"), "scan_id"))
+    store = store.select("store_id", "pos", F.lower(F.trim("location")).alias("aisle"), _features(store, F.col("sub_category")).alias("e")).where("aisle <> ''")
+    away = wrong_location(rest.select("scan_id", "j").join(known, "scan_id").join(feature, ["scan_id", "j"]), store, own)
+    lost = F.col("expected_aisle").isNotNull() & F.col("i").isNull()
+    return lines.join(away, ["scan_id", "j"], "left").select(
+        "scan_id", "i", "j", F.when(lost, "wrong_location").otherwise(F.col("issue_type")).alias("issue_type"), "expected_brand", "expected_product", "expected_qty", "actual_brand", "actual_product", "actual_qty",
+        F.when(lost, "critical").otherwise(F.col("severity")).alias("severity"), F.when(lost, F.col("expected_aisle")).otherwise(F.coalesce("detail", F.lit("Not in expected planogram for this assignment"))).alias("detail"))
 
 
 def wrong_location(unexpected: DataFrame, store_plan: DataFrame, here: DataFrame) -> DataFrame:
