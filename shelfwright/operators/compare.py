@@ -122,14 +122,15 @@ def compare_planogram(plan: DataFrame, inventory: DataFrame) -> DataFrame:
     return _lines(j, rest, issue, F.when(~found, F.when(F.col("expected_qty") > 0, "critical").otherwise("warning")).when(issue == "correct", "info").otherwise("warning"))
 
 
-def compare_in_context(plan: DataFrame, inventory: DataFrame, context: DataFrame, groups: DataFrame, kinds: DataFrame, detected: DataFrame) -> DataFrame:
+def compare_in_context(plan: DataFrame, inventory: DataFrame, context: DataFrame, groups: DataFrame, kinds: DataFrame, detected: DataFrame, store_plan: DataFrame | None = None) -> DataFrame:
     """The comparison with all seven issue types and a detail text.
 
     ``context`` = (scan_id, store_id, sub_category, aisle) of the audit, ``groups`` = (sub_category, grp) of sub-categories that count as
     one, ``kinds`` = (sub_category, word) that name a kind in a product text, ``detected`` = (scan_id, j, sub_category) as recognised or
     inferred for inventory rows. A matched row is in the wrong category when its sub-category, or else the audit's, is of another
     group than the expected one; it is the wrong product when the match is weak and brand and kind do not agree. A row that nothing
-    expects is in the wrong location when another aisle of the store expects it. Missing context gives no such issues.
+    expects is in the wrong location when another aisle of the store (``store_plan``, all of ``plan`` if not given) expects it. Missing
+    context gives no such issues.
     """
     words = kinds.groupBy(F.col("sub_category").alias("of_sub")).agg(F.array_sort(F.collect_set(F.lower("word"))).alias("kw"))  # a few words each
     with_words = lambda df: df.join(words, F.col("sub_category") == F.col("of_sub"), "left").withColumn("kw", F.coalesce("kw", F.array().cast("array<string>"))).drop("of_sub")
@@ -161,7 +162,7 @@ def compare_in_context(plan: DataFrame, inventory: DataFrame, context: DataFrame
     own = plan.select("scan_id", F.lower(F.trim("location")).alias("aisle")).unionByName(context.select("scan_id", F.lower(F.trim("aisle")).alias("aisle"))).where("aisle <> ''").distinct()
     feature = a.select("scan_id", F.col("pos").alias("j"), _features(a, F.col("category")).alias("a"))
     known = context.where("trim(aisle) <> ''").select("scan_id", "store_id")
-    store = with_words(plan.join(context.select("scan_id", "store_id"), "scan_id"))
+    store = with_words((plan if store_plan is None else store_plan).join(context.select("scan_id", "store_id"), "scan_id"))
     store = store.select("store_id", "pos", F.lower(F.trim("location")).alias("aisle"), _features(store, F.col("sub_category")).alias("e")).where("aisle <> ''")
     away = wrong_location(rest.select("scan_id", "j").join(known, "scan_id").join(feature, ["scan_id", "j"]), store, own)
     lost = F.col("expected_aisle").isNotNull() & F.col("i").isNull()
