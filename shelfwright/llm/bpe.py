@@ -184,6 +184,7 @@ def chunks(docs: DataFrame, pattern: str, head: pa.Array) -> DataFrame:
                      pa.array([np.diff(off[i:j + 1])], pa.list_(pa.int32())), pa.array([packed(codes)])],
                     names=["chunk", "words", "doc_ids", "sizes", "codes"])
                 chunk, i = chunk + 1, j
+            pa.default_memory_pool().release_unused()  # workers live on for later stages
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     d = docs.select("doc_id", words_of(F.col("text"), pattern).alias("words"))
@@ -272,6 +273,8 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
                 got = ids[np.repeat(begins[own] - to[:-1], n) + np.arange(to[-1])]
                 lists.append(pa.ListArray.from_arrays(pa.array(to[ends[i:j + 1] - ends[i]].astype(np.int32)), pa.array(got.astype(np.int32))))
                 i = j
+        del place, begin, length, order, begins, lengths, flat, ids
+        pa.default_memory_pool().release_unused()
         return pa.table({"doc_id": pa.chunked_array(docs_, left.schema.field("doc_ids").type.value_type).combine_chunks(), "ids": pa.chunked_array(lists, pa.list_(pa.int32())).combine_chunks()})
 
     return parts.drop("words").groupBy("chunk").cogroup(found.groupBy("of_chunk")).applyInArrow(assemble, f"doc_id {kind}, ids array<int>")
