@@ -337,12 +337,3 @@ def facing_fulfilment(lines: DataFrame) -> DataFrame:
     e, a = F.coalesce("expected_qty", F.lit(0)), F.coalesce("actual_qty", F.lit(0))
     agg = lines.groupBy("scan_id").agg(F.sum(e).alias("expected_facings"), F.sum(F.least(a, e)).alias("actual_facings"), F.sum(F.greatest(F.lit(0), e - a)).alias("facing_gap"))
     return agg.withColumn("fulfilment_percent", F.when(F.col("expected_facings") > 0, F.bround(F.col("actual_facings") / F.col("expected_facings") * 100.0, 1)))
-
-
-def summary_text(m: DataFrame) -> DataFrame:
-    """Plain-text summary sentence of a scan."""
-    text = F.concat(
-        F.format_string("Observed %d visible facings across %d visual product groups and %d identified brands.", F.col("total_facings"), F.col("unique_skus"), F.col("unique_brands")),
-        F.format_string(" Recognition coverage among detections is %s%% (not measured accuracy).", F.format_number("recognition_coverage_percent", 1)),
-        F.when(F.col("low_stock_products") > 0, F.format_string(" %d SKU(s) are below the facing threshold.", F.col("low_stock_products"))).otherwise(""))
-    return m.select("scan_id", text.alias("summary"))

@@ -4,7 +4,7 @@ from importlib import import_module
 
 from shelfwright.plans.registry import all_queries, all_sql
 
-for _module in ("shelf_metrics", "kpis", "planogram", "boxes", "matching", "lifecycle", "texts", "vectors", "execution", "sources", "streams", "layout"):
+for _module in ("shelf_metrics", "kpis", "planogram", "boxes", "matching", "lifecycle", "texts", "vectors", "execution", "reports", "sources", "streams", "layout"):
     import_module(f"shelfwright.plans.{_module}")
 
 __all__ = ["all_queries", "all_sql"]

@@ -304,12 +304,6 @@ def g46(d):
     return CP.facing_fulfilment(d.lines)
 
 
-@query("f23_summary_text", """SELECT scan_id, 'Observed ' || total_facings || ' visible facings across ' || unique_skus || ' visual product groups and ' || unique_brands || ' identified brands. Recognition coverage among detections is ' || format('{:.1f}', recognition_coverage_percent) || '% (not measured accuracy).'
-    || CASE WHEN low_stock_products > 0 THEN ' ' || low_stock_products || ' SKU(s) are below the facing threshold.' ELSE '' END AS summary FROM core""", SM.OWN)
-def f23(d):
-    return CP.summary_text(M.scan_metrics(d.inv, d.fac))
-
-
 @query("g64_primary_brand", "SELECT scan_id, arg_min(brand, struct_pack(n := -n, p := first_pos)) AS primary_brand FROM (SELECT scan_id, brand, count(*) AS n, min(pos) AS first_pos FROM plan GROUP BY ALL) GROUP BY scan_id")
 def g64(d):
     per = d.plan.groupBy("scan_id", "brand").agg(F.count("*").alias("n"), F.min("pos").alias("p"))
@@ -327,17 +321,6 @@ def g65(d):
     return a.unionByName(d.plan.where("sku <> '' AND mrp_inr IS NOT NULL").select("scan_id", F.lit("price").alias("list_name"), "sku", c("mrp_inr").alias("price")))
 
 
-@query("g66_intelligence_row", f"""SELECT b.scan_id, b.breadth_percent, f.fulfilment_percent, i.daily_inr, coalesce(n.actions, 0) AS actions FROM (SELECT e.scan_id, round_even(coalesce(found, 0) / expected * 100.0e0, 1) AS breadth_percent FROM (SELECT scan_id, count(*) AS expected FROM plan GROUP BY scan_id) e LEFT JOIN (SELECT scan_id, count(*) FILTER (issue_type IN ('correct', 'qty_mismatch')) AS found FROM lines GROUP BY scan_id) f ON e.scan_id = f.scan_id) b
-    LEFT JOIN ({FUL}) f ON b.scan_id = f.scan_id LEFT JOIN imp i ON b.scan_id = i.scan_id LEFT JOIN (SELECT scan_id, count(*) AS actions FROM nba12 GROUP BY scan_id) n ON b.scan_id = n.scan_id""", LED)
-def g66(d):
-    """One wide row per scan, assembled from the blocks on the scan key."""
-    acts = CP.next_actions(_metrics(d), d.lines).groupBy("scan_id").agg(F.count("*").alias("actions"))
-    return (CP.assortment_breadth(d.plan, d.lines).select("scan_id", "breadth_percent")
-            .join(CP.facing_fulfilment(d.lines).select("scan_id", "fulfilment_percent"), "scan_id", "left")
-            .join(MO.impact_from_lines(d.lines, d.plan).select("scan_id", "daily_inr"), "scan_id", "left")
-            .join(acts, "scan_id", "left").withColumn("actions", F.coalesce("actions", F.lit(0))))
-
-
 @query("g68_exception_list", "SELECT scan_id, pos, issue_type FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY pos) AS rn FROM lines) WHERE rn <= 25 AND coalesce(issue_type, '') <> 'correct'")
 def g68(d):
     """The first lines of a scan, then the exceptions among them: the limit comes before the filter."""
@@ -345,27 +328,6 @@ def g68(d):
     return d.lines.withColumn("rn", rn).where("rn <= 25").where(F.coalesce("issue_type", F.lit("")) != "correct").select("scan_id", "pos", "issue_type")
 
 
-@query("a11_kpi_export", """SELECT scan_id, unnest(['Visible facings', 'Unique SKUs', 'Unique brands', 'Recognition coverage %', 'On-shelf availability %']) AS kpi, unnest([CAST(total_facings AS DOUBLE), unique_skus, unique_brands, recognition_coverage_percent, availability_percent]) AS value,
-    unnest([CAST(total_facings AS DOUBLE), unique_skus, unique_brands, NULL, NULL]) AS numerator FROM core""", SM.OWN)
-def a11(d):
-    m = M.scan_metrics(d.inv, d.fac)
-    row = lambda n, v, num: F.struct(F.lit(n).alias("kpi"), c(v).cast("double").alias("value"), (c(num).cast("double") if num else F.lit(None).cast("double")).alias("numerator"))
-    rows = F.array(row("Visible facings", "total_facings", "total_facings"), row("Unique SKUs", "unique_skus", "unique_skus"), row("Unique brands", "unique_brands", "unique_brands"),
-                   row("Recognition coverage %", "recognition_coverage_percent", None), row("On-shelf availability %", "availability_percent", None))
-    return m.select("scan_id", F.explode(rows).alias("r")).select("scan_id", "r.*")
-
-
-@query("a12_sectioned_report", """SELECT scan_id, '5b' AS section, rank AS line_no, brand AS label, format('{:.1f}', share) AS value FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY quantity DESC, brand) AS rank FROM share_all WHERE NOT is_unclassified) WHERE rank <= 15
-    UNION ALL SELECT scan_id, '7', rank, rule_id, priority FROM nba12 UNION ALL SELECT scan_id, '7c', 1, 'low-stock', CASE WHEN low_stock_products > 10 THEN 'high' ELSE 'medium' END FROM met WHERE low_stock_products > 0""", {**SM.OWN, **MET})
-def a12(d):
-    shares = M.top_per_scan(M.brand_share(d.inv).where(~c("is_unclassified")), 15, F.desc("quantity"), c("brand")).select(
-        "scan_id", F.lit("5b").alias("section"), c("rank").alias("line_no"), c("brand").alias("label"), F.format_number("share", 1).alias("value"))
-    m = _metrics(d)
-    acts = CP.next_actions(m, d.lines).select("scan_id", F.lit("7").alias("section"), c("rank").alias("line_no"), c("rule_id").alias("label"), c("priority").alias("value"))
-    al = CP.alerts(m).where("rule_id = 'low-stock'").select("scan_id", F.lit("7c").alias("section"), F.lit(1).alias("line_no"), c("rule_id").alias("label"), c("priority").alias("value"))
-    return shares.unionByName(acts).unionByName(al)
-
-
 @query("u2_key_union", "SELECT coalesce(p.scan_id, a.scan_id) AS scan_id, coalesce(p.brand, a.brand) AS brand, p.brand IS NOT NULL AS planned, a.brand IS NOT NULL AS seen FROM (SELECT DISTINCT scan_id, brand FROM plan) p FULL JOIN (SELECT DISTINCT scan_id, brand FROM cv) a ON p.scan_id = a.scan_id AND p.brand = a.brand")
 def u2(d):
     p = d.plan.select("scan_id", "brand", F.lit(1).alias("planned"), F.lit(0).alias("seen"))
