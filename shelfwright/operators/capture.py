@@ -131,3 +131,36 @@ def merge_photos(photos: DataFrame, labels: DataFrame) -> DataFrame:
     n = distinct.groupBy("scan_id").agg(F.count("*").alias("labels"))
     return p.join(n, "scan_id", "left").select(
         "scan_id", "photos", "total_facings", "quality", F.coalesce("labels", F.lit(0)).alias("labels"))
+
+
+def _norm(col: Column | str) -> Column:
+    return F.lower(F.trim(F.coalesce(col, F.lit(""))))
+
+
+def merged_lists(products: DataFrame, labels: DataFrame) -> DataFrame:
+    """Union of the lists of a scan's photos: (scan_id, list, photo, entry).
+
+    Products are all kept, each with its photo. Of location labels that are equal but for case and outer blanks the first photo's stays;
+    blank ones are no duplicates of each other. ``products`` = (scan_id, photo, entry), ``labels`` = (scan_id, photo, label).
+    """
+    named = labels.where(_norm("label") != "").groupBy("scan_id", _norm("label").alias("k")).agg(F.min(F.struct("photo", "label")).alias("m")).select("scan_id", "m.*")
+    every = named.unionByName(labels.where(_norm("label") == "").select("scan_id", "photo", "label"))
+    return products.select("scan_id", F.lit("products").alias("list"), "photo", "entry").unionByName(
+        every.select("scan_id", F.lit("location_labels").alias("list"), "photo", F.col("label").alias("entry")))
+
+
+def merged_summary(photos: DataFrame, products: DataFrame) -> DataFrame:
+    """Counts of a merged scan: distinct products, brands and categories, facings of each photo in order and their sum.
+
+    A product counts once per brand, product and variant without regard to case; rows that name none of them do not count. Photos
+    without products have no facings; unknown and negative facings count as none.
+    """
+    key = F.concat_ws("|", _norm("brand"), _norm("product_name"), _norm("variant"))
+    distinct = products.groupBy("scan_id").agg(
+        F.count_distinct(F.when(key != "||", key)).alias("products_detected"), F.count_distinct(F.nullif(_norm("brand"), F.lit(""))).alias("brands_detected"),
+        F.count_distinct(F.nullif(_norm("category"), F.lit(""))).alias("categories_detected"))
+    seen = products.groupBy("scan_id", "photo").agg(F.sum(F.greatest(F.lit(0), F.coalesce("actual_facings", F.lit(0)))).alias("n"))
+    per = photos.select("scan_id", "photo").distinct().join(seen, ["scan_id", "photo"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    out = per.groupBy("scan_id").agg(F.count("*").alias("photo_count"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("photo", "n"))), lambda x: x["n"].cast("string")), ",").alias("facings_per_photo"),
+                                     F.sum("n").alias("merged_facings")).join(distinct, "scan_id", "left")
+    return out.select("scan_id", "photo_count", "facings_per_photo", "merged_facings", *[F.coalesce(c, F.lit(0)).alias(c) for c in distinct.columns[1:]])

@@ -287,6 +287,28 @@ def g41(d):
     return C.merge_photos(photos, labels)
 
 
+def _photo_rows(d):
+    shelf = F.floor(F.col("scan_id") / 8)
+    photo = (F.col("scan_id") % 8).alias("photo")
+    return d.scans.select(shelf.alias("scan_id"), photo), d.cv.select(shelf.alias("scan_id"), photo, "pos", "brand", "product_name", "variant", "category", "actual_facings", "location_label")
+
+
+@query("g41_merged_lists", """SELECT scan_id // 8 AS scan_id, 'products' AS list, scan_id % 8 AS photo, brand || ' ' || product_name AS entry FROM cv
+    UNION ALL SELECT scan_id // 8, 'location_labels', min(scan_id % 8), arg_min(location_label, struct_pack(p := scan_id % 8, l := location_label)) FROM cv WHERE location_label IS NOT NULL GROUP BY scan_id // 8, lower(trim(location_label))""")
+def g41b(d):
+    _, rows = _photo_rows(d)
+    return C.merged_lists(rows.select("scan_id", "photo", F.concat_ws(" ", "brand", "product_name").alias("entry")),
+                          rows.where("location_label IS NOT NULL").select("scan_id", "photo", F.col("location_label").alias("label")))
+
+
+@query("g41_merged_summary", """SELECT p.scan_id, photo_count, facings_per_photo, merged_facings, coalesce(products_detected, 0) AS products_detected, coalesce(brands_detected, 0) AS brands_detected, coalesce(categories_detected, 0) AS categories_detected FROM (
+    SELECT scan_id // 8 AS scan_id, count(*) AS photo_count, string_agg(CAST(n AS VARCHAR), ',' ORDER BY scan_id) AS facings_per_photo, sum(n) AS merged_facings FROM (SELECT s.scan_id, coalesce(sum(greatest(0, actual_facings)), 0) AS n FROM scans s LEFT JOIN cv ON s.scan_id = cv.scan_id GROUP BY s.scan_id) GROUP BY 1) p
+    LEFT JOIN (SELECT scan_id // 8 AS scan_id, count(DISTINCT lower(brand || '|' || product_name || '|' || variant)) AS products_detected, count(DISTINCT lower(brand)) AS brands_detected, count(DISTINCT lower(category)) AS categories_detected FROM cv GROUP BY 1) l ON p.scan_id = l.scan_id""")
+def g41c(d):
+    photos, rows = _photo_rows(d)
+    return C.merged_summary(photos, rows)
+
+
 EVID = """SELECT scan_id, count(*) FILTER (s = 'v') AS verified_shelf_absence_count, count(*) FILTER (s = 'c') AS confirmed_inventory_stockout_count, count(*) FILTER (s = 'g') AS suspected_shelf_gap_count,
     count(*) FILTER (s = 'n') AS not_observed_count, count(*) FILTER (s IN ('v', 'c')) AS confirmed_oos_count
     FROM (SELECT scan_id, CASE WHEN ln = 6 AND actual_qty <= 0 THEN 'c' WHEN expected_qty % 7 = 0 THEN 'n' WHEN issue_type IN ('missing', 'wrong_product', 'wrong_location') AND ln <> 1 THEN 'v'

@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shelfwright.operators import boxes as B
+from shelfwright.operators import row_labels as RL
 from shelfwright.operators import vectors as V
 from shelfwright.plans.registry import query
 
@@ -73,6 +74,49 @@ def j23(d):
     return unk.drop("brand").join(best, ["scan_id", "row_idx", "vid"]).select("scan_id", "pos", "brand")
 
 
+HOPS = {
+    **PROP,
+    "pack": "SELECT DISTINCT scan_id, row_idx, vid, brand FROM fv",
+    "sim": f"""/*stored*/ SELECT u.scan_id, u.row_idx, u.vid AS uid, k.vid AS kid, {DOT} AS score FROM (SELECT * FROM pack WHERE brand = 'Unknown') u JOIN (SELECT DISTINCT scan_id, row_idx, vid FROM pack) k ON u.scan_id = k.scan_id AND u.row_idx = k.row_idx
+        JOIN embeddings a ON a.vec_id = u.vid JOIN embeddings b ON b.vec_id = k.vid WHERE {DOT} >= 0.3e0""",
+    "hop1": "/*stored*/ SELECT s.scan_id, s.row_idx, uid, arg_min(struct_pack(b := brand, s := score), struct_pack(s := -score, b := brand)) AS m FROM sim s JOIN (SELECT * FROM pack WHERE brand <> 'Unknown') k ON s.scan_id = k.scan_id AND s.row_idx = k.row_idx AND s.kid = k.vid GROUP BY ALL",
+    "hop2": """SELECT s.scan_id, s.row_idx, s.uid, arg_min(struct_pack(b := h.m.b, s := score), struct_pack(s := -score, b := h.m.b)) AS m FROM sim s JOIN hop1 h ON s.scan_id = h.scan_id AND s.row_idx = h.row_idx AND s.kid = h.uid
+        WHERE NOT EXISTS (SELECT 1 FROM hop1 x WHERE x.scan_id = s.scan_id AND x.row_idx = s.row_idx AND x.uid = s.uid) GROUP BY ALL""",
+    "near1": "SELECT s.scan_id, s.row_idx, uid, arg_min(struct_pack(b := brand, c := sure), struct_pack(s := -score, b := brand, c := -sure)) AS m FROM sim s JOIN (SELECT r.scan_id, r.row_idx, (r.pos % 1000000) % (SELECT count(*) FROM embeddings) AS vid, brand, max(confidence) AS sure FROM rws r WHERE brand <> 'Unknown' GROUP BY ALL) k ON s.scan_id = k.scan_id AND s.row_idx = k.row_idx AND s.kid = k.vid GROUP BY ALL",
+}
+
+
+def _labelled(d):
+    n = F.lit(d.table("embeddings").count())
+    return B.shelf_rows(d.fac).select("scan_id", "pos", "row_idx", F.when(c("brand") != "Unknown", c("brand")).alias("brand"), "confidence", "pack_text", ((c("pos") % 1000000) % n).alias("vid"))
+
+
+@query("j23_propagated_hops", """SELECT f.scan_id, f.pos, h.m.b AS brand, round_even(least(0.97e0, h.m.s * 0.98e0), 4) AS confidence, hop FROM fv f JOIN (SELECT *, 1 AS hop FROM hop1 UNION ALL SELECT *, 2 FROM hop2) h
+    ON f.scan_id = h.scan_id AND f.row_idx = h.row_idx AND f.vid = h.uid WHERE f.brand = 'Unknown'""", HOPS)
+def j23_hops(d):
+    return RL.propagate(_labelled(d), _emb(d).select("id", "vec"), 0.3, 2)
+
+
+@query("j23_row_consensus", """SELECT f.scan_id, f.pos, n.m.b AS brand, round_even(least(0.92e0, n.m.c * 0.95e0), 4) AS confidence FROM fv f JOIN near1 n ON f.scan_id = n.scan_id AND f.row_idx = n.row_idx AND f.vid = n.uid JOIN rws r ON r.scan_id = f.scan_id AND r.pos = f.pos
+    WHERE f.brand = 'Unknown' AND NOT EXISTS (SELECT 1 FROM rws k WHERE k.scan_id = f.scan_id AND k.row_idx = f.row_idx AND k.brand <> 'Unknown' AND k.brand <> n.m.b AND list_contains(string_split(lower(r.pack_text), ' '), lower(k.brand)))""", HOPS)
+def j23_consensus(d):
+    return RL.row_consensus(_labelled(d), _emb(d).select("id", "vec"), 0.3)
+
+
+@query("g53_type_vote", """SELECT scan_id, row_idx, value, share FROM (SELECT *, row_number() OVER (PARTITION BY scan_id, row_idx ORDER BY w DESC, value) AS rn, round_even(w / sum(w) OVER (PARTITION BY scan_id, row_idx), 4) AS share, w / sum(w) OVER (PARTITION BY scan_id, row_idx) AS exact FROM (
+    SELECT scan_id, row_idx, value, sum(n) AS w FROM (SELECT scan_id, row_idx, split_part(product_name, ' ', 2) AS value, CASE WHEN contains(pack_text, product_name) THEN 2 ELSE 1 END AS n FROM rws WHERE contains(pack_text, product_name) OR brand <> 'Unknown') GROUP BY ALL)) WHERE rn = 1 AND exact >= 0.6e0""", PROP)
+def g53_type(d):
+    kind = F.split("product_name", " ")[1]
+    return RL.type_vote(B.shelf_rows(d.fac), F.when(c("pack_text").contains(c("product_name")), kind), F.when(c("brand") != "Unknown", kind))
+
+
+@query("g53_colour_vote", """SELECT scan_id, row_idx, value, round_even(w / t, 4) AS share FROM (SELECT *, row_number() OVER (PARTITION BY scan_id, row_idx ORDER BY w DESC, value) AS rn, sum(n) OVER (PARTITION BY scan_id, row_idx) AS t FROM (
+    SELECT *, CASE WHEN value IS NULL THEN 0 ELSE n END AS w FROM (SELECT scan_id, row_idx, value, count(*) AS n FROM (SELECT scan_id, row_idx, CASE WHEN x1 % 7 <> 0 THEN split_part(variant, ' ', 1) END AS value FROM rws) GROUP BY scan_id, row_idx, value))) WHERE rn = 1 AND value IS NOT NULL AND w / t >= 0.55e0""", PROP)
+def g53_colour(d):
+    """The first word of a variant stands for the colour of its pack; one facing in seven shows none."""
+    return RL.colour_vote(B.shelf_rows(d.fac), F.when(c("x1") % 7 != 0, F.split("variant", " ")[0]))
+
+
 @query("g53_row_majority", """SELECT scan_id, row_idx, type, share FROM (SELECT *, row_number() OVER (PARTITION BY scan_id, row_idx ORDER BY w DESC, type) AS rn, round_even(w / sum(w) OVER (PARTITION BY scan_id, row_idx), 4) AS share FROM (
     SELECT scan_id, row_idx, type, sum(w) AS w FROM (SELECT scan_id, row_idx, split_part(product_name, ' ', 2) AS type, CASE WHEN contains(pack_text, product_name) THEN 2 ELSE 1 END AS w FROM rws) GROUP BY ALL)) WHERE rn = 1 AND share >= 0.55e0""", PROP)
 def g53(d):
