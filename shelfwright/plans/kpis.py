@@ -187,7 +187,7 @@ def g22(d):
 @query("g23_role_dashboards", """SELECT s.scan_id, r.role_id, r.slot, r.kpi_id, k.value, coalesce(k.status, 'not_configured') AS status
     FROM (SELECT DISTINCT scan_id FROM all_k) s CROSS JOIN roles r LEFT JOIN all_k k ON s.scan_id = k.scan_id AND r.kpi_id = k.kpi_id""", OWN)
 def g23(d):
-    return Q.role_dashboards(_all_kpis(d))
+    return Q.role_dashboards(_all_kpis(d.written()))
 
 
 @query("g24_readiness", """SELECT scan_id, unnest(['osa', 'planogram_compliance', 'assortment_compliance', 'price_compliance', 'promotional_compliance', 'location_accuracy', 'facing_count', 'share_of_shelf', 'msl_compliance']) AS kpi_id,
