@@ -13,6 +13,7 @@ from shelfwright.plans import planogram as PP
 from shelfwright.plans import shelf_metrics as SM
 from shelfwright.plans import sqlkit as S
 from shelfwright.plans.registry import query
+from shelfwright.session import cut_lineage
 
 c = F.col
 CMP = {
@@ -269,8 +270,9 @@ LED = {**MET, **PP.MONEY,
 @query("t4_opportunity_ledger", """SELECT scan_id, brand, product, root, rule_id, score, row_number() OVER (PARTITION BY scan_id ORDER BY score DESC, rank) AS place FROM (SELECT scan_id, lower(coalesce(brand, '')) AS brand, lower(coalesce(product, '')) AS product, root, rule_id, score, rank,
     row_number() OVER (PARTITION BY scan_id, lower(coalesce(brand, '')), lower(coalesce(product, '')), root ORDER BY score DESC, rank) AS rn FROM led) WHERE rn = 1 QUALIFY place <= 25""", LED)
 def t4(d):
+    d = d.written()
     names = d.lines.select("scan_id", "pos", c("expected_brand").alias("brand"), c("expected_product").alias("product"))
-    acts = CP.next_actions(_metrics(d), d.lines).join(names, ["scan_id", "pos"], "left")
+    acts = cut_lineage(CP.next_actions(_metrics(d), d.lines)).join(names, ["scan_id", "pos"], "left")
     return CP.opportunity_ledger(acts, MO.impact_from_lines(d.lines, d.plan))
 
 
