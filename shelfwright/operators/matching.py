@@ -7,15 +7,45 @@ one scan with very many candidates over the cluster like many small ones.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfwright.session import cut_lineage
 
 
 # Groups up to this many pairs are walked in order by one task; larger ones are resolved in rounds.
 WALK_LIMIT = 200_000
+# Boxes of a scan, of both sides together, up to which they are compared directly or read by one task.
+SCAN_ROWS = 200
+
+
+def by_scan_size(rows: DataFrame, limit: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of scans of up to ``limit`` (SCAN_ROWS) rows, and those of larger ones, written; None without any."""
+    big = cut_lineage(rows.groupBy("scan_id").agg(F.count("*").alias("n")).where(F.col("n") > (SCAN_ROWS if limit is None else limit)).select("scan_id"))
+    if big.isEmpty():
+        return rows, None
+    return rows.join(big, "scan_id", "left_anti"), cut_lineage(rows.join(big, "scan_id", "left_semi"))
+
+
+def whole_scans(rows: DataFrame, order: list[str], run, schema: str | T.StructType) -> DataFrame:
+    """``run`` over frames of whole scans, sorted by ``order`` (scan_id first); for scans of bounded size only."""
+    def job(batches):
+        rest = None
+        for pdf in batches:
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            if len(pdf):
+                last = pdf["scan_id"].to_numpy() == pdf["scan_id"].iloc[-1]
+                rest = pdf[last]
+                if not last.all():
+                    yield run(pdf[~last])
+        if rest is not None:
+            yield run(rest)
+
+    return rows.repartition("scan_id").sortWithinPartitions(*order).mapInPandas(job, schema)
 
 
 def greedy_one_to_one(pairs: DataFrame, group: str, left: str, right: str, order: list[Column], walk_limit: int | None = None, with_order: bool = True) -> DataFrame:
@@ -142,12 +172,35 @@ def _suppress_rounds(e: DataFrame) -> DataFrame:
     return dropped
 
 
-def overlap_pairs(a: DataFrame, b: DataFrame, group: str, cell: int = 128) -> DataFrame:
-    """Pairs of boxes of a group that overlap, each pair once.
+def overlap_pairs(a: DataFrame, b: DataFrame, group: str, cell: int = 128, limit: int | None = None) -> DataFrame:
+    """Pairs of boxes of a group that overlap, each pair once. Columns of the two sides get the prefixes ``a_`` and ``b_``.
+
+    Boxes of a group of bounded size meet on the group, so each is shuffled once; those of larger groups meet in grid cells.
+    """
+    limit = SCAN_ROWS if limit is None else limit
+    big = None
+    if limit:
+        ids = a.select(group).unionAll(b.select(group))
+        big = cut_lineage(ids.groupBy(group).agg(F.count("*").alias("n")).where(F.col("n") > limit).select(group))
+        if big.isEmpty():
+            return _direct_pairs(a, b, group)
+        few, (a, b) = _direct_pairs(*(side.join(big, group, "left_anti") for side in (a, b)), group), (side.join(big, group, "left_semi") for side in (a, b))
+    out = _pairs_by_cell(a, b, group, cell)
+    return out if big is None else few.unionByName(out)
+
+
+def _direct_pairs(a: DataFrame, b: DataFrame, group: str) -> DataFrame:
+    named = lambda df, prefix: df.select(group, *[F.col(c).alias(prefix + c) for c in df.columns if c != group])
+    meets = (F.greatest("a_x1", "b_x1") < F.least("a_x2", "b_x2")) & (F.greatest("a_y1", "b_y1") < F.least("a_y2", "b_y2"))
+    known = reduce(Column.__and__, [F.col(f"{p}{c}").isNotNull() for p in ("a_", "b_") for c in ("x1", "y1", "x2", "y2")])
+    return named(a, "a_").join(named(b, "b_"), group).where(known & meets)
+
+
+def _pairs_by_cell(a: DataFrame, b: DataFrame, group: str, cell: int) -> DataFrame:
+    """The same for groups of any size.
 
     Both sides are spread over grid cells and joined on the cell; a pair is reported only in the cell
-    of the upper left corner of its intersection, so no de-duplication is needed. Columns of the two
-    sides get the prefixes ``a_`` and ``b_``.
+    of the upper left corner of its intersection, so no de-duplication is needed.
     """
     def spread(df: DataFrame, prefix: str) -> DataFrame:
         named = df.select(F.col(group).alias("g"), *[F.col(c).alias(prefix + c) for c in df.columns if c != group])
