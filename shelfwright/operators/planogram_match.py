@@ -124,7 +124,7 @@ def related_brands(keys_a: DataFrame, keys_b: DataFrame) -> DataFrame:
     return one.select("a", "b").unionByName(two.select("a", "b")).distinct()
 
 
-def _large_scans(*sides: DataFrame, limit: int | None) -> DataFrame:
+def large_scans(*sides: DataFrame, limit: int | None) -> DataFrame:
     """Scans with more rows than are compared directly; only scan numbers are shuffled."""
     ids = sides[0].select("scan_id")
     for other in sides[1:]:
@@ -174,7 +174,7 @@ def distinctive_words(planned: DataFrame, limit: int | None = None) -> DataFrame
     """(scan_id, i, dist): words only one planned row uses among the rows of its own or a containing brand in the scan."""
     slim = planned.select("scan_id", "i", F.struct(F.col("p.bk").alias("bk"), F.col("p.w").alias("w")).alias("p"))
     by_scan = lambda rows: _words_by_scan(rows).where("dist IS NOT NULL").select("scan_id", "i", "dist")
-    big = _large_scans(planned, limit=limit)
+    big = large_scans(planned, limit=limit)
     if big.isEmpty():
         return by_scan(slim)
     return by_scan(slim.join(big, "scan_id", "left_anti")).unionByName(_words_by_key(cut_lineage(slim.join(big, "scan_id", "left_semi"))))
@@ -240,7 +240,7 @@ def scored_pairs(cv: DataFrame, plan: DataFrame, limit: int | None = None) -> Da
     The rows of a scan of bounded size are shuffled once, before they have features, and meet on the scan; no pair is
     shuffled. Rows of larger scans meet on block keys.
     """
-    big = _large_scans(cv, plan, limit=limit)
+    big = large_scans(cv, plan, limit=limit)
     columns = ["scan_id", "i", "j", "score", "c", "label", "loc"]
 
     def direct(a: DataFrame, b: DataFrame) -> DataFrame:

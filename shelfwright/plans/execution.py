@@ -43,20 +43,30 @@ def g4(d):
     return CP.plan_totals(d.plan).select("scan_id", "key", "expected_qty", "slots")
 
 
+def _pairs(d):
+    d = d.by_scan()
+    return CP.compare_pairs(d.plan, d.inv)
+
+
+def _compared(d):
+    d = d.by_scan()
+    return CP.compare_planogram(d.plan, d.inv)
+
+
 @query("j8_compare_scores", "SELECT g AS scan_id, l AS i, r AS j, score FROM cs45", CMP)
 def j8(d):
-    return CP.compare_pairs(CP.plan_totals(d.plan), CP.merge_inventory(d.inv))
+    return _pairs(d)
 
 
 @query("j32_variant_lookup", "SELECT g AS scan_id, r AS j, min(l) AS i FROM cs45 GROUP BY g, r", CMP)
 def j32(d):
     """First planned row, in plan order, that an inventory row is compatible with."""
-    return CP.compare_pairs(CP.plan_totals(d.plan), CP.merge_inventory(d.inv)).groupBy("scan_id", "j").agg(F.min("i").alias("i"))
+    return _pairs(d).groupBy("scan_id", "j").agg(F.min("i").alias("i"))
 
 
 @query("j7_compare_planogram", "SELECT * FROM clines", CMP)
 def j7(d):
-    return CP.compare_planogram(d.plan, d.inv)
+    return _compared(d)
 
 
 KINDS = {"sub_0": ["ring", "bolt"], "sub_1": ["plate"], "sub_2": ["widget", "gear"], "sub_4": ["rod"], "sub_5": ["anvil", "gizmo"]}
@@ -104,19 +114,19 @@ def j7b(d):
 
 @query("u1_union_of_lines", "SELECT issue_type, severity, count(*) AS n FROM clines GROUP BY ALL", CMP)
 def u1(d):
-    return CP.compare_planogram(d.plan, d.inv).groupBy("issue_type", "severity").agg(F.count("*").alias("n"))
+    return _compared(d).groupBy("issue_type", "severity").agg(F.count("*").alias("n"))
 
 
 @query("g44_compare_summary", """SELECT scan_id, count(i) AS expected_products, count(*) FILTER (issue_type = 'missing') AS missing_products, count(*) FILTER (issue_type = 'qty_mismatch') AS quantity_issues, count(*) FILTER (issue_type = 'unexpected') AS unexpected_products,
     count(*) FILTER (issue_type = 'correct') AS correct_products, round_even(100.0e0 * (greatest(count(i), 1) - count(*) FILTER (issue_type = 'missing')) / greatest(count(i), 1), 2) AS sku_match_percent FROM clines GROUP BY scan_id""", CMP)
 def g44b(d):
-    return CP.compare_summary(CP.compare_planogram(d.plan, d.inv))
+    return CP.compare_summary(_compared(d))
 
 
 @query("r4_corrective_actions", """SELECT scan_id, i, j, issue_type, CASE WHEN issue_type = 'qty_mismatch' AND actual_qty > expected_qty THEN 'Remove ' || (actual_qty - expected_qty) || ' extra facing(s) of ' || actual_brand || ' ' || actual_product || '.'
     WHEN issue_type IN ('missing', 'qty_mismatch') THEN 'Replenish ' || expected_brand || ' ' || expected_product || ' — ' || greatest(0, expected_qty - actual_qty) || ' unit(s) required.' ELSE 'Review unexpected product: ' || actual_brand || ' ' || actual_product || '.' END AS suggestion FROM clines WHERE issue_type <> 'correct'""", CMP)
 def r4(d):
-    return CP.suggestions(CP.compare_planogram(d.plan, d.inv))
+    return CP.suggestions(_compared(d))
 
 
 @query("j9_wrong_location", """SELECT u.scan_id, u.j, arg_min(p.location, p.pos) AS expected_aisle FROM (SELECT a.*, s.store_id FROM a_ a JOIN scans s ON a.scan_id = s.scan_id) u
