@@ -9,7 +9,13 @@ from shelfwright.functions import keys as K
 
 
 def text(name: str) -> Column:
-    return F.trim(F.regexp_replace(F.coalesce(F.col(name).cast("string"), F.lit("")), r"\s+", " "))
+    """Trimmed text with one space for each run of white space; only runs that are not one space already match."""
+    return F.trim(F.regexp_replace(F.coalesce(F.col(name).cast("string"), F.lit("")), r"\s{2,}|[^\S ]", " "))
+
+
+def blank(name: str) -> Column:
+    """``text(name)`` is empty: null, or no character but white space."""
+    return ~F.coalesce(F.col(name).cast("string").rlike(r"\S"), F.lit(False))
 
 
 def _errors(*checks: tuple[Column, str]) -> Column:
@@ -30,7 +36,7 @@ def _number_checks(names: list[str], kind: str) -> list[tuple[Column, str]]:
 
 def planogram_rows(raw: DataFrame) -> DataFrame:
     """All-string planogram rows to typed rows with ``errors``; a row is valid when the list is empty."""
-    required = [(text(n) == "", f"{n} is required") for n in ("location", "brand", "product_name", "category", "sub_category")]
+    required = [(blank(n), f"{n} is required") for n in ("location", "brand", "product_name", "category", "sub_category")]
     counts = ["expected_facings", "min_facings", "max_facings", "expected_shelf_units", "expected_qty"]
     num = lambda n, k="int": F.nullif(F.col(n).cast("string"), F.lit("")).try_cast(k)
     err = _errors(*required, *_number_checks(counts, "int"),

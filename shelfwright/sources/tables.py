@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwright.operators import validate as V
+from shelfwright.session import cut_lineage
 
 # Header spellings accepted for each planogram column.
 HEADER_ALIASES = {
@@ -38,9 +39,9 @@ def separator_of(line: str) -> str:
 
 
 def text_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Lines of all files, the header line of each file, and the different header lines, which are all that reaches the driver."""
+    """Lines of all files, the header line of each file (written, so that files are read for it once), and the different header lines, which are all that reaches the driver."""
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
-    heads = lines.where("block = 0").groupBy("source_file").agg(F.min_by("value", "n").alias("line"))
+    heads = cut_lineage(lines.where("block = 0").groupBy("source_file").agg(F.min_by("value", "n").alias("line")))
     return lines, heads, sorted(r.line for r in heads.select("line").distinct().collect())
 
 
@@ -55,7 +56,11 @@ def read_csv(spark: SparkSession, path: str, sep: str | None = None) -> DataFram
     first counts. Files are read as text in one pass and each line is parsed by the header of its file, which it meets in parts, so that one
     large file is no hot key. Lines equal to the header are headers again; blank lines are skipped.
     """
-    lines, heads, headers = text_lines(spark, path)
+    return parsed_lines(spark, *text_lines(spark, path), sep)
+
+
+def parsed_lines(spark: SparkSession, lines: DataFrame, heads: DataFrame, headers: list[str], sep: str | None = None) -> DataFrame:
+    """Rows of ``text_lines``, each line parsed once: a generator keeps filters on the columns from repeating the parse."""
     if not headers:
         return spark.createDataFrame([], "source_file string")
     salts = 16
@@ -71,20 +76,21 @@ def read_csv(spark: SparkSession, path: str, sep: str | None = None) -> DataFram
         fields = lambda p: F.struct(*[(p[f"c{first_of[n]}"] if n in first_of else F.lit(None).cast("string")).alias(n) for n in every])
         return F.when(F.col("line") == F.lit(line), F.transform(F.array(row), fields)[0])
 
-    out = rows.select(F.coalesce(*[parsed(h) for h in headers]).alias("r"), "source_file")
+    out = rows.select(F.explode(F.array(F.coalesce(*[parsed(h) for h in headers]))).alias("r"), "source_file")
     return out.select(*[F.col("r").getField(n).alias(n) for n in every if n != "source_file"], "source_file")
 
 
 def read_planogram_csv(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
     """Validated planogram rows; files without the required columns are refused with the names of the columns."""
-    for line in text_lines(spark, path)[2]:
+    lines, heads, headers = text_lines(spark, path)
+    for line in headers:
         names = header_names(line, sep)
         missing = [c for c in REQUIRED if c not in names]
         if not {"expected_facings", "expected_qty"} & set(names):
             missing.append("expected_facings or expected_qty")
         if missing:
             raise ValueError("missing required column: " + ", ".join(missing))
-    df = read_csv(spark, path, sep)
+    df = parsed_lines(spark, lines, heads, headers, sep)
     for c in HEADER_ALIASES:
         if c not in df.columns:
             df = df.withColumn(c, F.lit(None).cast("string"))
