@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwright.functions import text as T
+from shelfwright.session import cut_lineage
 
 
 def correction_table(tokens: DataFrame, vocab: DataFrame, cutoff: float = 0.82, min_len: int = 4) -> DataFrame:
@@ -52,19 +53,35 @@ def keyword_scores(items: DataFrame, keywords: DataFrame, text: str = "text") ->
     return words.join(keywords, "word").groupBy("scan_id", "pos", "aisle", "class_id").agg(F.count("*").alias("hits"))
 
 
+def best_class(items: DataFrame, keywords: DataFrame, text: str = "text", foreign: bool = False) -> DataFrame:
+    """Best scoring class of each distinct text; with ``foreign`` of each text and aisle, among the classes other than the aisle.
+
+    Items repeat a lot of texts and equal texts score alike, so only distinct texts are split and counted. The table is written once: a join
+    with it sees its size.
+    """
+    keys = ["aisle", text] if foreign else [text]
+    words = items.select(*keys).distinct().select(*keys, F.explode(F.array_distinct(F.split(F.lower(text), r"[^a-z0-9#]+"))).alias("word"))
+    found = words.join(keywords, "word")
+    found = found.where(F.col("class_id") != F.col("aisle")) if foreign else found
+    hits = found.groupBy(*keys, "class_id").agg(F.count("*").alias("hits"))
+    return cut_lineage(hits.groupBy(*keys).agg(F.min_by("class_id", F.struct(-F.col("hits"), F.col("class_id"))).alias("best")))
+
+
 def infer_class(items: DataFrame, keywords: DataFrame, brand_classes: DataFrame) -> DataFrame:
     """Class by keyword hits, else the only class the brand belongs to."""
-    best = keyword_scores(items, keywords).groupBy("scan_id", "pos").agg(
-        F.min_by("class_id", F.struct(-F.col("hits"), F.col("class_id"))).alias("by_words"))
     only = brand_classes.groupBy("brand").agg(F.count_distinct("class_id").alias("n"), F.min("class_id").alias("by_brand")).where("n = 1")
-    return items.join(best, ["scan_id", "pos"], "left").join(only.select("brand", "by_brand"), "brand", "left").select(
-        "scan_id", "pos", F.coalesce("by_words", "by_brand").alias("class_id"))
+    return items.join(best_class(items, keywords), "text", "left").join(only.select("brand", "by_brand"), "brand", "left").select(
+        "scan_id", "pos", F.coalesce("best", "by_brand").alias("class_id"))
+
+
+def with_foreign_class(items: DataFrame, keywords: DataFrame) -> DataFrame:
+    """Items with the best scoring class other than their own aisle as ``foreign_class``; items without one are left out."""
+    return items.join(best_class(items, keywords, foreign=True), ["aisle", "text"]).withColumnRenamed("best", "foreign_class")
 
 
 def foreign_class(items: DataFrame, keywords: DataFrame) -> DataFrame:
-    """Best scoring class other than the item's own aisle."""
-    return keyword_scores(items, keywords).where(F.col("class_id") != F.col("aisle")).groupBy("scan_id", "pos").agg(
-        F.min_by("class_id", F.struct(-F.col("hits"), F.col("class_id"))).alias("foreign_class"))
+    """(scan_id, pos, foreign_class): one row for each item, which its scan and pos name, however often it is repeated."""
+    return with_foreign_class(items, keywords).select("scan_id", "pos", "foreign_class").distinct()
 
 
 def match_products(texts: DataFrame, catalogue: DataFrame, accept: float = 0.55) -> DataFrame:

@@ -102,7 +102,7 @@ ITEMS = {
 
 
 def _items(d):
-    return d.fac.select("scan_id", "pos", "brand", c("category").alias("aisle"), F.lower(F.concat_ws(" ", "product_name", "pack_text")).alias("text"))
+    return d.fac.select("scan_id", "pos", "brand", "product_name", c("category").alias("aisle"), F.lower(F.concat_ws(" ", "product_name", "pack_text")).alias("text"))
 
 
 def _kw(d):
@@ -125,12 +125,15 @@ MIS = {**ITEMS, "mis": "SELECT i.scan_id, i.pos, f.brand, f.product_name, class_
 
 
 def _mis(d):
-    return TM.foreign_class(_items(d), _kw(d)).join(d.fac, ["scan_id", "pos"]).select("scan_id", "pos", "brand", "product_name", c("foreign_class").alias("detected"))
+    return TM.with_foreign_class(_items(d), _kw(d)).select("scan_id", "pos", "brand", "product_name", c("foreign_class").alias("detected"))
 
 
 @query("g39_mismatch_groups", "SELECT scan_id, detected, brand, product_name, count(*) AS facings FROM mis GROUP BY GROUPING SETS ((scan_id, detected, brand, product_name), (scan_id, detected))", MIS)
 def g39(d):
-    return _mis(d).groupingSets([["scan_id", "detected", "brand", "product_name"], ["scan_id", "detected"]], "scan_id", "detected", "brand", "product_name").agg(F.count("*").alias("facings"))
+    # Rows are dealt by scan and class once; products are counted there and summed to their class, in place of a second copy of each row.
+    per = _mis(d).select("scan_id", "detected", "brand", "product_name").repartition("scan_id", "detected").groupBy("scan_id", "detected", "brand", "product_name").agg(F.count("*").alias("facings"))
+    none = F.lit(None).cast("string")
+    return per.unionByName(per.groupBy("scan_id", "detected").agg(F.sum("facings").alias("facings")).withColumns({"brand": none, "product_name": none}))
 
 
 @query("j14_flag_inventory", """SELECT i.scan_id, i.pos, CASE WHEN m.scan_id IS NOT NULL THEN 'category_mismatch' ELSE i.compliance_status END AS compliance_status FROM inv i
