@@ -12,7 +12,7 @@ LABEL_PLACEHOLDERS = ["", "null", "none", "n/a", "na", "-", "—", "unverifiable
 def normalize_label(col: Column) -> Column:
     text = F.upper(F.trim(F.coalesce(col.cast("string"), F.lit(""))))
     tight = F.regexp_replace(F.regexp_replace(text, r"\s*-\s*", "-"), r"\s+", "")
-    return F.when(F.lower(text).isin(LABEL_PLACEHOLDERS), F.lit("")).otherwise(tight)
+    return F.when(F.lower(text).isin(LABEL_PLACEHOLDERS), F.lit("")).when(text.rlike(r"\s"), tight).otherwise(text)
 
 
 def normalize_rack(col: Column) -> Column:
@@ -23,18 +23,20 @@ def normalize_rack(col: Column) -> Column:
 def fits(read: Column, full: Column) -> Column:
     """Normalised label ``read`` equals ``full``; '?' in the read label stands for any character."""
     chars = F.zip_with(F.split(read, ""), F.split(full, ""), lambda x, y: (x == "?") | (x == y))
-    return (read != "") & (full != "") & (F.length(read) == F.length(full)) & F.forall(chars, lambda ok: ok)
+    wild = read.contains("?") & (F.length(read) == F.length(full)) & F.forall(chars, lambda ok: ok)
+    return (read != "") & (full != "") & ((read == full) | wild)
 
 
 def compatible(a: Column, b: Column) -> Column:
     """Two read labels may be the same physical one ('?' unknown on either side)."""
     chars = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: (x == y) | (x == "?") | (y == "?"))
-    return (F.length(a) == F.length(b)) & F.forall(chars, lambda ok: ok)
+    wild = (a.contains("?") | b.contains("?")) & (F.length(a) == F.length(b)) & F.forall(chars, lambda ok: ok)
+    return (a == b) | wild
 
 
 def visible_price(col: Column) -> Column:
     """First number in the text, thousands commas dropped; only positive prices count."""
-    num = F.regexp_extract(F.regexp_replace(col.cast("string"), ",", ""), r"\d+(?:[.]\d+)?", 0)
+    num = F.regexp_extract(F.replace(col.cast("string"), F.lit(","), F.lit("")), r"\d+(?:[.]\d+)?", 0)
     price = F.nullif(num, F.lit("")).try_cast("double")
     return F.when(price > 0, price)
 
@@ -56,7 +58,11 @@ def location_status(expected: Column, actual: Column, labels: Column, ambiguous:
 
 
 def price_status(expected: Column, visible: Column) -> Column:
-    e, a = visible_price(expected), visible_price(visible)
+    return price_state(visible_price(expected), visible_price(visible))
+
+
+def price_state(e: Column, a: Column) -> Column:
+    """``price_status`` of two prices as numbers."""
     return (
         F.when(e.isNull(), "NO_EXPECTED").when(a.isNull(), "NOT_READABLE")
         .when(F.bround(a, 2) == F.bround(e, 2), "MATCH").otherwise("MISMATCH")

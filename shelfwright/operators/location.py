@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfwright.functions import keys as K
 from shelfwright.functions import location as L
+from shelfwright.session import cut_lineage
 
 
 def _label_status(status: Column, label: Column) -> Column:
@@ -57,7 +58,7 @@ def ambiguous_labels(labels: DataFrame) -> DataFrame:
 
 def location_metrics(products: DataFrame, read_labels: DataFrame | None = None) -> DataFrame:
     """Labels read, empty labels, racks, rows without a usable label, prices read, per scan."""
-    roll = label_rollup(products, read_labels)
+    roll = cut_lineage(label_rollup(products, read_labels).select("scan_id", "label", "products", "n_rows"))
     amb = ambiguous_labels(roll)
     flagged = roll.join(amb.select("scan_id", "label", F.lit(True).alias("amb")), ["scan_id", "label"], "left")
     ok = F.col("amb").isNull()
@@ -82,30 +83,30 @@ def annotate_rows(rows: DataFrame, roll: DataFrame) -> DataFrame:
     """Location status, price status and price difference of the rows that were seen.
 
     A row needs at most three facts about its photo: whether its own label is ambiguous and whether
-    the expected label was read fully or in part. They come by equi-joins on distinct labels, so no
-    scan collects its label list.
+    the expected label was read fully or in part. They come by equi-joins on distinct labels, so no scan
+    collects its label list. Labels and the rows' normalised values are written once.
     """
+    roll = cut_lineage(roll.select("scan_id", "label"))
     amb = ambiguous_labels(roll)
     good = roll.join(amb.select("scan_id", "label"), ["scan_id", "label"], "left_anti").select("scan_id", "label")
-    seen = rows.where("attached").withColumns({
-        "exp": L.normalize_label(F.col("location")), "raw": L.normalize_label(F.col("location_label"))})
-    wanted = seen.select("scan_id", "exp").where("exp <> ''").distinct()
-    full = good.where(~F.col("label").contains("?")).select("scan_id", F.col("label").alias("exp"), F.lit(True).alias("full_fit"))
+    seen = cut_lineage(rows.where("attached").select("scan_id", "pos", L.normalize_label(F.col("location")).alias("exp"), L.normalize_label(F.col("location_label")).alias("raw"),
+                                                     L.visible_price(F.col("mrp_inr")).alias("e"), L.visible_price(F.col("visible_price")).alias("a")))
+    yes, no = F.lit(True), F.lit(False)
+    full = good.where(~F.col("label").contains("?")).select("scan_id", F.col("label").alias("exp"), yes.alias("full"))
     part = good.where(F.col("label").contains("?")).select("scan_id", F.col("label").alias("p"), F.length("label").alias("n"))
-    partial = wanted.withColumn("n", F.length("exp")).join(part, ["scan_id", "n"]).where(
-        L.fits(F.col("p"), F.col("exp"))).select("scan_id", "exp", F.lit(True).alias("part_fit")).distinct()
-    out = (
-        seen.join(full, ["scan_id", "exp"], "left").join(partial, ["scan_id", "exp"], "left")
-        .join(amb.select("scan_id", F.col("label").alias("raw"), F.lit(True).alias("is_amb")), ["scan_id", "raw"], "left"))
+    wanted = seen.select("scan_id", "exp").where("exp <> ''").distinct()
+    partial = wanted.withColumn("n", F.length("exp")).join(part, ["scan_id", "n"]).where(L.fits(F.col("p"), F.col("exp"))).select("scan_id", "exp", no.alias("full"))
+    read = full.unionByName(partial).groupBy("scan_id", "exp").agg(F.max("full").alias("full_fit"))
+    out = seen.join(read, ["scan_id", "exp"], "left").join(amb.select("scan_id", F.col("label").alias("raw"), yes.alias("is_amb")), ["scan_id", "raw"], "left")
     act = F.when(F.col("is_amb"), F.lit("")).otherwise(F.col("raw"))
-    full_fit, any_fit = F.col("full_fit").isNotNull(), F.col("full_fit").isNotNull() | F.col("part_fit").isNotNull()
+    full_fit, any_fit = F.coalesce("full_fit", no), F.col("full_fit").isNotNull()
     status = (
         F.when(F.col("exp") == "", "NO_EXPECTED")
         .when(L.fits(act, F.col("exp")), F.when(act.contains("?"), "NOT_READABLE").otherwise("CORRECT"))
         .when(~any_fit, "EXPECTED_NOT_IN_PHOTO")
         .when((act == "") | act.contains("?") | ~full_fit, "NOT_READABLE").otherwise("WRONG_LOCATION"))
-    e, a = L.visible_price(F.col("mrp_inr")), L.visible_price(F.col("visible_price"))
+    e, a = F.col("e"), F.col("a")
     return out.select(
         "scan_id", "pos", status.alias("location_status"),
-        L.price_status(F.col("mrp_inr"), F.col("visible_price")).alias("price_status"),
+        L.price_state(e, a).alias("price_status"),
         F.bround(a - e, 2).alias("price_difference"))

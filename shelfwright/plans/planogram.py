@@ -10,6 +10,7 @@ from shelfwright.operators import location as LO
 from shelfwright.operators import money as MO
 from shelfwright.operators import planogram_calc as P
 from shelfwright.plans.registry import query
+from shelfwright.session import cut_lineage
 
 STATUS = """CASE WHEN actual_facings IS NULL THEN 'UNVERIFIABLE' WHEN min_facings IS NULL AND max_facings IS NULL THEN 'NO_RANGE'
     WHEN actual_facings < min_facings THEN 'BELOW_MIN' WHEN actual_facings > max_facings THEN 'ABOVE_MAX'
@@ -50,10 +51,8 @@ def _read_labels(d):
     """Labels read without a product: those of unseen planned rows, some of them partial."""
     off = F.lit(100000000000000000)
     none = F.lit(None).cast("string")
-    one = d.plan.where("ln = 1").select("scan_id", (F.col("pos") + off).alias("pos"), F.col("location").alias("label"), none.alias("rack_marker"), none.alias("status"))
-    two = d.plan.where("ln = 6").select("scan_id", (F.col("pos") + off).alias("pos"), F.concat(F.lit("A-"), F.substring("location", 3, 1), F.lit("?")).alias("label"),
-                                        none.alias("rack_marker"), none.alias("status"))
-    return one.unionByName(two)
+    seen = F.when(F.col("ln") == 1, F.col("location")).otherwise(F.concat(F.lit("A-"), F.substring("location", 3, 1), F.lit("?")))
+    return d.plan.where("ln IN (1, 6)").select("scan_id", (F.col("pos") + off).alias("pos"), seen.alias("label"), none.alias("rack_marker"), none.alias("status"))
 
 
 ROWCOLS = ["scan_id", "pos", "facing_variance", "facing_variance_percent", "facing_compliance", "shelf_unit_variance",
@@ -141,7 +140,7 @@ def g34(d):
 
 @query("g35_ambiguous_labels", "SELECT * FROM amb", OWN)
 def g35(d):
-    return LO.ambiguous_labels(LO.label_rollup(d.cv, _read_labels(d)))
+    return LO.ambiguous_labels(cut_lineage(LO.label_rollup(d.cv, _read_labels(d)).select("scan_id", "label")))
 
 
 @query("g34_location_metrics", """SELECT b.scan_id, coalesce(r.n, 0) AS location_labels_read, coalesce(r.e, 0) AS empty_locations, coalesce(r.am, 0) AS ambiguous_labels, b.racks_detected,
