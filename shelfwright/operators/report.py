@@ -109,11 +109,14 @@ def report(kpis: DataFrame, shares: DataFrame, impact: DataFrame, ledger: DataFr
 
 def intelligence_row(scans: DataFrame, blocks: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
     """One wide row per scan: each block's columns joined on the scan key, and ``<block>_state``: ``available`` where the block has
-    a row for the scan with a value in its first column, else ``not_configured``. A block has at most one row per scan."""
+    a row for the scan with a value in its first column, else ``not_configured``. A block has at most one row per scan.
+    Blocks of one table are joined together, once."""
     out = scans.select("scan_id").distinct()
-    for name, (rows, cols) in blocks.items():
-        out = out.join(rows.select("scan_id", *cols), "scan_id", "left").withColumn(f"{name}_state", F.when(F.col(cols[0]).isNull(), "not_configured").otherwise("available"))
-    return out
+    tables = {id(rows): rows for rows, _ in blocks.values()}
+    for key, rows in tables.items():
+        out = out.join(rows.select("scan_id", *[c for of, cols in blocks.values() if id(of) == key for c in cols]), "scan_id", "left")
+    state = lambda col: F.when(F.col(col).isNull(), "not_configured").otherwise("available")
+    return out.select("scan_id", *[c for name, (_, cols) in blocks.items() for c in (*cols, state(cols[0]).alias(f"{name}_state"))])
 
 
 def executive_summary(m: DataFrame, scope_label: str = "full image") -> DataFrame:

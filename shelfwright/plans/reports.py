@@ -71,12 +71,10 @@ def metrics(d):
 
 
 def findings(d, m):
-    """Comparison lines, first actions and the ledger of all scans."""
-    lines = cut_lineage(d.lines)
-    names = lines.select("scan_id", "pos", c("expected_brand").alias("brand"), c("expected_product").alias("product"))
-    actions = cut_lineage(CP.next_actions(m, lines))
-    impact = cut_lineage(MO.impact_from_lines(lines, d.plan))
-    return lines, actions, impact, CP.opportunity_ledger(actions.join(names, ["scan_id", "pos"], "left"), impact)
+    """First actions, money at risk and the ledger of all scans; ``d`` has written tables."""
+    actions = cut_lineage(CP.next_actions(m, d.lines, named=True))
+    impact = cut_lineage(MO.impact_from_lines(d.lines, d.plan))
+    return actions, impact, CP.opportunity_ledger(actions, impact)
 
 
 @query("a11_kpi_export", "SELECT * FROM kpi", REP)
@@ -94,9 +92,10 @@ def a11(d):
         CASE WHEN issue_type IN ('missing', 'wrong_product') AND coalesce(expected_qty, 0) > 0 THEN 'critical' ELSE 'warning' END AS severity, coalesce(actual_qty, 0) || ' of ' || coalesce(expected_qty, 0) || ' facing(s)' AS detail FROM lines WHERE coalesce(issue_type, 'review') <> 'correct') WHERE rank <= 20
     UNION ALL SELECT scan_id, '7c', row_number() OVER (PARTITION BY scan_id ORDER BY rule_no), title, priority, '' FROM warned""", REP)
 def a12(d):
+    d = d.written()
     m = metrics(d)
-    lines, _, impact, ledger = findings(d, m)
-    return R.report(R.kpi_export(m, "full_image"), M.brand_share(d.inv), impact, ledger, CP.recommendations(m), lines, CP.alerts(m))
+    _, impact, ledger = findings(d, m)
+    return R.report(R.kpi_export(m, "full_image"), M.brand_share(d.inv), impact, ledger, CP.recommendations(m), d.lines, CP.alerts(m))
 
 
 MET_COLS = {"recognition_coverage": ["recognition_coverage_percent"], "ai_confidence": ["average_confidence_percent"], "placement": ["placement_compliance_percent"], "planogram": ["planogram_percent"],
@@ -124,12 +123,13 @@ REP["img"] = """SELECT scan_id, CASE WHEN seen THEN greatest(0.0e0, least(100.0e
     + " FROM (SELECT DISTINCT scan_id FROM plan) s " + " ".join(f"LEFT JOIN {rows} {name} ON s.scan_id = {name}.scan_id" for name, (rows, _) in G66_BLOCKS.items()), REP)
 def g66(d):
     """One wide row per planned scan: thirteen blocks with their states."""
+    d = d.written()
     m = metrics(d)
-    lines, actions, impact, ledger = findings(d, m)
+    actions, impact, ledger = findings(d, m)
     quality = M.facing_quality(d.fac).join(m.select("scan_id", "total_facings", "recognition_coverage_percent"), "scan_id")
     rows = {
-        **{name: m for name in MET_COLS}, "image": CP.image_quality(quality), "assortment": CP.assortment_breadth(d.plan, lines),
-        "availability": CP.availability_block(d.plan, m.withColumn("confirmed_oos_count", c("verified_shelf_absence_count"))), "facings": CP.facing_fulfilment(lines), "impact": impact,
+        **{name: m for name in MET_COLS}, "image": CP.image_quality(quality), "assortment": CP.assortment_breadth(d.plan, d.lines),
+        "availability": CP.availability_block(d.plan, m.withColumn("confirmed_oos_count", c("verified_shelf_absence_count"))), "facings": CP.facing_fulfilment(d.lines), "impact": impact,
         "ledger": ledger.groupBy("scan_id").agg(F.count("*").alias("opportunities"), F.max("score").alias("top_score"), F.min_by("rule_id", "place").alias("top_rule")),
         "actions": actions.groupBy("scan_id").agg(F.count("*").alias("actions"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "rule_id"))), lambda x: x["rule_id"]), ",").alias("action_rules")),
     }
