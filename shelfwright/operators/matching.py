@@ -10,6 +10,7 @@ from __future__ import annotations
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,6 +49,25 @@ def whole_scans(rows: DataFrame, order: list[str], run, schema: str | T.StructTy
     return rows.repartition("scan_id").sortWithinPartitions(*order).mapInPandas(job, schema)
 
 
+def kept_in_scans(rows: DataFrame, order: list[str], kept) -> DataFrame:
+    """The rows that ``kept``, a mask over tables of whole scans sorted by ``order`` (scan_id first), leaves; for scans of bounded size only."""
+    def job(batches):
+        rest = None
+        for b in batches:
+            t = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
+            rest = t
+            if t.num_rows:
+                scan = t.column("scan_id").combine_chunks()
+                last = scan.index(scan[-1]).as_py() if scan[-1].is_valid else t.num_rows  # rows without a scan come first and need no others
+                rest = t.slice(last)
+                if last:
+                    yield from t.slice(0, last).filter(pa.array(kept(t.slice(0, last)))).to_batches()
+        if rest is not None and rest.num_rows:
+            yield from rest.filter(pa.array(kept(rest))).to_batches()
+
+    return rows.repartition("scan_id").sortWithinPartitions(*order).mapInArrow(job, rows.schema)
+
+
 def greedy_one_to_one(pairs: DataFrame, group: str, left: str, right: str, order: list[Column], walk_limit: int | None = None, with_order: bool = True) -> DataFrame:
     """Pairs taken in ``order`` (ascending, then left, then right), each row used at most once.
 

@@ -68,7 +68,7 @@ NEST = {
 
 @query("b2_nested_facings", "SELECT scan_id, pos FROM left3", NEST)
 def b2(d):
-    return B.filter_nested(d.fac).select("scan_id", "pos")
+    return B.filter_nested(d.fac.select("scan_id", "pos", *B.BOX, "brand", "confidence")).select("scan_id", "pos")
 
 
 @query("b5_top_partial", "SELECT scan_id, pos, exclude_from_inventory OR (y2 <= 216.0e0 AND y1 < 108.0e0) AS excluded FROM fac")
