@@ -134,7 +134,7 @@ def r4(d):
     ON u.store_id = p.store_id AND lower(replace(u.brand, '#', '')) = p.bk, LATERAL (SELECT lower(u.product_name || ' ' || u.variant) AS q) q, LATERAL (SELECT len(list_intersect(list_distinct(string_split(p.p, ' ')), list_distinct(string_split(q.q, ' ')))) / CAST(greatest(len(list_distinct(string_split(p.p, ' '))), len(list_distinct(string_split(q.q, ' ')))) AS DOUBLE) AS ov) o
     WHERE CASE WHEN p.p = q.q THEN 0.95e0 WHEN contains(p.p, q.q) OR contains(q.q, p.p) THEN 0.88e0 WHEN ov >= 0.5e0 THEN 0.6e0 + 0.4e0 * ov ELSE 0.45e0 END >= 0.6e0 AND NOT EXISTS (SELECT 1 FROM plan h WHERE h.scan_id = u.scan_id AND h.location = p.location) GROUP BY u.scan_id, u.j""", CMP)
 def j9(d):
-    stores = d.scans.select("scan_id", "store_id")
+    d, stores = d.by_scan(), d.scans.select("scan_id", "store_id")
     inv = CP.merge_inventory(d.inv)
     a = inv.select("scan_id", c("pos").alias("j"), CP._features(inv, F.lit("")).alias("a")).join(stores, "scan_id")
     plan = d.plan.withColumn("sku", F.lit(""))
