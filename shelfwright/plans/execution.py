@@ -103,6 +103,7 @@ FULL = {
     FROM ak a LEFT JOIN aw w ON a.scan_id = w.scan_id AND a.j = w.j WHERE NOT EXISTS (SELECT 1 FROM ck_chosen x WHERE x.g = a.scan_id AND x.r = a.j)""", FULL)
 def j7b(d):
     """Every issue type; audits of some sub-category, rows with a recognised one, and words that name kinds."""
+    d = d.by_scan()
     blank = lambda when, other: F.when(when, "").otherwise(other)
     context = d.scans.select("scan_id", "store_id", blank(c("scan_id") % 3 > 0, F.concat(F.lit("sub_"), (c("scan_id") % 5).cast("string"))).alias("sub_category"), blank(c("scan_id") % 4 == 0, F.lit("here")).alias("aisle"))
     groups = d.spark.range(64).select(F.concat(F.lit("sub_"), c("id").cast("string")).alias("sub_category"), F.floor(c("id") / 3).alias("grp"))
