@@ -88,7 +88,11 @@ HOPS = {
 
 def _labelled(d):
     n = F.lit(d.table("embeddings").count())
-    return B.shelf_rows(d.fac).select("scan_id", "pos", "row_idx", F.when(c("brand") != "Unknown", c("brand")).alias("brand"), "confidence", "pack_text", ((c("pos") % 1000000) % n).alias("vid"))
+    label = F.when(c("brand") != "Unknown", c("brand"))
+    # Places and texts are read of unlabelled facings only, confidences of labelled ones; what is not read is not shuffled.
+    of = lambda name: F.when(label.isNull(), c(name)).alias(name)
+    slim = d.fac.select("scan_id", of("pos"), "y1", "y2", label.alias("brand"), F.when(label.isNotNull(), c("confidence")).alias("confidence"), of("pack_text"), ((c("pos") % 1000000) % n).alias("vid"))
+    return B.shelf_rows(slim)
 
 
 @query("j23_propagated_hops", """SELECT f.scan_id, f.pos, h.m.b AS brand, round_even(least(0.97e0, h.m.s * 0.98e0), 4) AS confidence, hop FROM fv f JOIN (SELECT *, 1 AS hop FROM hop1 UNION ALL SELECT *, 2 FROM hop2) h
