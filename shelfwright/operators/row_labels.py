@@ -85,7 +85,7 @@ def propagate(facings: DataFrame, vectors: DataFrame, threshold: float = PROPAGA
     Packs labelled in one hop are labelled packs of the next, until none is added or ``max_hops`` are done. Of equal similarities the
     least brand counts. Vectors are compared once; a hop joins keys only. The confidence is 0.98 of the similarity, at most 0.97.
     """
-    facings = cut_lineage(facings.select(*ROW, "pos", "vid", "brand"))  # read three times
+    facings = cut_lineage(open_rows(facings.select(*ROW, "pos", "vid", "brand")))  # read three times
     pairs = cut_lineage(similar_in_row(facings, vectors, threshold))
     known = facings.where("brand IS NOT NULL").select(*ROW, F.col("vid").alias("kid"), "brand").distinct()
     done, last, hop = None, known, 0
